@@ -86,6 +86,11 @@ def validation_report(headers: DataFrame) -> DataFrame:
     An empty header table (no directory, or no files in it) is one error row.
     """
     spark = headers.sparkSession
+    if headers.isEmpty():
+        return spark.createDataFrame(
+            [(None, None, None, "error", "no input tables")],
+            "schema string, file string, score double, severity string, message string",
+        )
     ident = identify(headers)
     policy = spark.createDataFrame(
         [(name, s.on_missing) for name, s in SCHEMAS.items()], "schema string, on_missing string"
@@ -94,8 +99,7 @@ def validation_report(headers: DataFrame) -> DataFrame:
     gaps = missing_required(headers, ident).groupBy("schema", "file").agg(
         F.array_join(F.sort_array(F.collect_set("column")), ", ").alias("cols")
     )
-    some_file = headers.limit(1).select(F.lit(1).alias("one"))
-    absent = policy.join(found, "schema", "left_anti").join(some_file, how="left_semi").select(
+    absent = policy.join(found, "schema", "left_anti").select(
         "schema", F.lit(None).cast("string").alias("file"), F.lit(None).cast("double").alias("score"),
         F.when(F.col("on_missing") == "fail", "error").otherwise("warning").alias("severity"),
         F.concat(F.lit("table not found: "), F.col("schema")).alias("message"),
@@ -113,16 +117,7 @@ def validation_report(headers: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("schema"), "file", "score",
         F.lit("info").alias("severity"), F.lit("not recognised").alias("message"),
     )
-    nothing = (
-        spark.range(1).join(some_file, how="left_anti").select(
-            F.lit(None).cast("string").alias("schema"), F.lit(None).cast("string").alias("file"),
-            F.lit(None).cast("double").alias("score"), F.lit("error").alias("severity"),
-            F.lit("no input tables").alias("message"),
-        )
-    )
-    return (
-        fine.unionByName(lacking).unionByName(unknown).unionByName(absent).unionByName(nothing)
-    )
+    return fine.unionByName(lacking).unionByName(unknown).unionByName(absent)
 
 
 def is_valid(report: DataFrame) -> bool:
