@@ -44,51 +44,54 @@ def build(tables: Tables, ctx: RunContext, rules: RuleBook, part: Part) -> DataF
     bought = F.col("purchase_time")
     at = AtCutoff(_all_purchases(tables), bought <= ctx.cutoff(), part)
     time_us, end_us = F.unix_micros(bought), F.unix_micros("end_date")
-    # Level 1: per (player, kind, product). Distinct products become row counts of level 2.
+    is_cons = F.col("consumable")
+
+    def of(kind, value):
+        return at(F.when(kind, value))
+
+    # Level 1: per (player, product). Distinct products become row counts of level 2.
     first = []
     if part.churn:
+        for name, kind in (("cons", is_cons), ("subs", ~is_cons)):
+            first += [
+                F.count(of(kind, F.lit(1))).alias(f"{name}_n"),
+                F.min(of(kind, time_us)).alias(f"{name}_first"),
+                F.max(of(kind, time_us)).alias(f"{name}_last"),
+            ]
         first += [
-            at.rows.alias("n"), F.min(at(time_us)).alias("first_us"),
-            F.max(at(time_us)).alias("last_us"), F.max(at(end_us)).alias("end_us"),
+            F.max(at(end_us)).alias("subs_end"),
             F.sum(at("is_trial")).alias("trials"), F.count(at("is_trial")).alias("trial_rows"),
         ]
     if part.taste:
-        first.append(F.max(time_us).alias("any_last_us"))
-    products = at.df.groupBy("user_id", "consumable", "product_id").agg(*first)
+        first.append(F.max(time_us).alias("any_last"))
+    products = at.df.groupBy("user_id", "product_id").agg(*first)
 
-    is_cons, named = F.col("consumable"), F.col("product_id").isNotNull()
+    named = F.col("product_id").isNotNull()
     aggs = []
     if part.churn:
-        used = F.col("n") > 0
-        cons, subs = is_cons & used, ~is_cons & used
+        gems = F.startswith("product_id", F.lit(GEM_PREFIX))
         aggs += [
-            F.sum(F.when(cons, F.col("n"))).alias("n_cons"),
-            F.count_if(cons & named).alias("iap_consumables_unique_products"),
-            F.sum(F.when(cons & F.startswith("product_id", F.lit(GEM_PREFIX)), F.col("n")))
-            .alias("iap_gems_packs_count"),
-            F.max(F.when(cons, F.col("last_us"))).alias("cons_last"),
-            F.min(F.when(cons, F.col("first_us"))).alias("cons_first"),
-            F.sum(F.when(subs, F.col("n"))).alias("n_subs"),
-            F.max(F.when(subs, F.col("last_us"))).alias("subs_last"),
-            F.min(F.when(subs, F.col("first_us"))).alias("subs_first"),
-            F.max(F.when(subs, F.col("end_us"))).alias("subs_end"),
-            F.sum(F.when(subs, F.col("trials"))).alias("trials"),
-            F.sum(F.when(subs, F.col("trial_rows"))).alias("trial_rows"),
+            F.sum("cons_n").alias("n_cons"), F.sum("subs_n").alias("n_subs"),
+            F.count_if(named & (F.col("cons_n") > 0)).alias("iap_consumables_unique_products"),
+            F.sum(F.when(gems, F.col("cons_n"))).alias("iap_gems_packs_count"),
+            *[F.min(c).alias(c) for c in ("cons_first", "subs_first")],
+            *[F.max(c).alias(c) for c in ("cons_last", "subs_last", "subs_end")],
+            *[F.sum(c).alias(c) for c in ("trials", "trial_rows")],
             *[
-                F.max(flag(subs & (F.col("product_id") == product))).alias(name)
+                F.max(flag((F.col("subs_n") > 0) & (F.col("product_id") == product))).alias(name)
                 for name, product in SUBSCRIPTION_FLAGS.items()
             ],
         ]
     if part.taste:
         aggs += [
-            F.max("any_last_us").alias("any_last_us"),
-            F.count_distinct("product_id").alias("iap_n_distinct_products"),
+            F.max("any_last").alias("any_last"),
+            F.count_if(named).alias("iap_n_distinct_products"),
         ]
     out = products.groupBy("user_id").agg(*aggs)
     if part.churn:
         out = _state_at_cutoff(out, ctx)
     if part.taste:
-        recent = F.timestamp_micros("any_last_us") >= ctx.reference(90)
+        recent = F.timestamp_micros("any_last") >= ctx.reference(90)
         out = out.withColumn("iap_paid_last_90d_at_ref", flag(recent))
     return out
 
