@@ -14,15 +14,26 @@ MAX_CENTROIDS = 1_000
 
 def mean_centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """(code, centroid): the mean vector of every label."""
-    long = df.select(label, F.posexplode(vector).alias("dim", "x"))
-    means = long.groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    # One array per label; its length is the vector's, not the number of rows.
-    in_order = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy(F.col(label).cast("int").alias("code")).agg(
-        F.transform(in_order, lambda e: e["x"]).alias("centroid")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    as_vector = array_to_vector(F.col(vector).cast("array<double>"))
+    return df.groupBy(F.col(label).cast("int").alias("code")).agg(
+        vector_to_array(Summarizer.mean(as_vector)).alias("centroid")
     )
 
 
+def load_centroids(centroids: DataFrame) -> dict[int, np.ndarray]:
+    """A centroid table as model data, after checking its size."""
+    rows = centroids.take(MAX_CENTROIDS + 1)
+    if not rows:
+        raise ValueError("no centroids")
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids; that is a join, not a model")
+    return {r["code"]: np.array(r["centroid"], dtype=float)
+            for r in sorted(rows, key=lambda r: r["code"])}
+
+
 def nearest_centroid(
     df: DataFrame, vector: str, centroids: DataFrame, code: str = "archetype_n1"
 ) -> DataFrame:
@@ -31,13 +42,9 @@ def nearest_centroid(
     The centroid table is model data: its size is checked, and it travels with the tasks. Distances
     of a whole batch are one numpy call.
     """
-    rows = sorted(centroids.take(MAX_CENTROIDS + 1), key=lambda r: r["code"])
-    if not rows:
-        raise ValueError("no centroids")
-    codes = np.array([r["code"] for r in rows], dtype="int32")
-    points = np.array([r["centroid"] for r in rows], dtype=float)
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids; that is a join, not a model")
+    known = load_centroids(centroids)
+    codes = np.array(list(known), dtype="int32")
+    points = np.stack(list(known.values()))
 
     @F.pandas_udf("code int, distance double")
     def closest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -66,13 +73,12 @@ def davies_bouldin(df: DataFrame, vector: str, code: str) -> DataFrame:
 
     Rows are folded to one centroid and one spread per cluster; the pairs are clusters, not rows.
     """
-    centroids = mean_centroids(df, vector, code)
-    placed = nearest_own(df, vector, code, centroids)
+    points = load_centroids(mean_centroids(df, vector, code))
+    placed = distance_to_own(df, vector, code, points)
     spread = placed.groupBy("code").agg(F.avg("distance").alias("spread"))
     table = {r["code"]: r["spread"] for r in spread.collect()}
-    points = {r["code"]: np.array(r["centroid"]) for r in centroids.collect()}
     return df.sparkSession.createDataFrame(
-        [(float(_worst_mean(table, points)), len(points))], "davies_bouldin double, clusters int"
+        [(_worst_mean(table, points), len(points))], "davies_bouldin double, clusters int"
     )
 
 
@@ -86,9 +92,10 @@ def _worst_mean(spread: dict, points: dict) -> float:
     return float(np.mean(worst))
 
 
-def nearest_own(df: DataFrame, vector: str, code: str, centroids: DataFrame) -> DataFrame:
+def distance_to_own(
+    df: DataFrame, vector: str, code: str, points: dict[int, np.ndarray]
+) -> DataFrame:
     """(code, distance): each row's Euclidean distance to its own cluster's centroid."""
-    points = {r["code"]: np.array(r["centroid"]) for r in centroids.collect()}
 
     @F.pandas_udf("double")
     def distance(vectors: pd.Series, codes: pd.Series) -> pd.Series:

@@ -87,7 +87,7 @@ class Retail:
                 segment.alias("store_where_published"), money.alias("gold"),
                 F.floor(money / 100).alias("gems"), F.lit(0).alias("dark_steel"),
                 (key % 50).alias("runes"), F.col("n_orders").alias("num_logins"),
-                (key % 9).alias("current_session"), (key % 12).alias("last_completed_tutorial_block"),
+                _null_when(key % 25 != 0, key % 9).alias("current_session"), (key % 12).alias("last_completed_tutorial_block"),
                 F.concat(F.lit("1."), (key % 3).cast("string")).alias("game_version"),
                 plain_id(key + 1).alias("current_character"),
                 F.lit(True).alias("template_item_stats_augment_update_done"),
