@@ -38,7 +38,7 @@ CHARS = f"""SELECT {ID},
   coalesce({half_even('m.spent::DOUBLE / nullif(m.talent, 0)', 2)}, 0.0) AS char_talent_pct_spent,
   coalesce(arena_max, 0)::DOUBLE AS char_arena_category_max,
   coalesce(medals_max, 0)::DOUBLE AS char_medals_max, coalesce(has_arena, 0) AS char_has_arena,
-  coalesce(custom, 0) AS char_is_customized,
+  coalesce(a.custom, 0) AS char_is_customized,
   {days_ago('first_created', 'cut')} AS char_first_created_days_ago,
   {days_ago('last_updated', 'cut')} AS char_last_updated_days_ago
 FROM customer u CROSS JOIN tm
@@ -47,7 +47,7 @@ LEFT JOIN (SELECT c, count(*) AS n, count(DISTINCT class) AS classes, avg(level)
     (count(arena) > 0)::INT AS has_arena, max(coalesce(custom, FALSE)::INT) AS custom,
     min(created) AS first_created, max(updated) AS last_updated
   FROM chars, tm WHERE created <= cut GROUP BY c) a ON a.c = u.c_custkey
-LEFT JOIN (SELECT * FROM chars, tm WHERE created <= cut QUALIFY row_number() OVER (
+LEFT JOIN (SELECT chars.* FROM chars, tm WHERE created <= cut QUALIFY row_number() OVER (
     PARTITION BY c ORDER BY level DESC NULLS LAST, experience DESC NULLS LAST, k) = 1) m
   ON m.c = u.c_custkey"""
 
@@ -170,7 +170,7 @@ LEFT JOIN (SELECT c, count(*) AS n, min(created) AS first_item,
     count(*) FILTER (created >= ref - INTERVAL 90 DAY) AS n90 FROM coll, tm GROUP BY c) co
   ON co.c = u.c_custkey
 LEFT JOIN (SELECT * FROM rewards QUALIFY row_number() OVER (PARTITION BY c
-    ORDER BY updated DESC NULLS LAST, (wrap <> '') DESC, k DESC) = 1) rw ON rw.c = u.c_custkey
+    ORDER BY updated DESC NULLS LAST, k DESC) = 1) rw ON rw.c = u.c_custkey
 LEFT JOIN (SELECT c, max((bought >= ref - INTERVAL 90 DAY)::INT) AS recent,
     count(DISTINCT product) AS kinds FROM (SELECT c, bought, product FROM cons UNION ALL
     SELECT c, bought, product FROM subs), tm GROUP BY c) ip ON ip.c = u.c_custkey
@@ -188,7 +188,7 @@ LEFT JOIN (SELECT c, -sum(n / s * log2(n / s)) AS ent, 1 - sum((n / s) * (n / s)
 
 CURRENCY = f"""SELECT {ID}, ec.ent AS entropy_currency_concept, gc.gini AS gini_currency_concept,
   CASE WHEN t.c IS NOT NULL THEN coalesce(gc.kinds, 0) END AS n_distinct_concepts_used,
-  et.ent AS entropy_currency_type, least(t.days, 30) / 30.0::DOUBLE AS pct_days_active_currency_30d,
+  et.ent AS entropy_currency_type, CASE WHEN t.days > 30 THEN 30 ELSE t.days END / 30.0::DOUBLE AS pct_days_active_currency_30d,
   t.weekend AS weekend_pct_currency, b.binge AS binge_index_currency, t.inflow AS currency_pct_inflow,
   t.outflow AS currency_pct_outflow
 FROM customer u
@@ -215,7 +215,7 @@ LEFT JOIN (SELECT c, count(*) FILTER (kind = 'FIGHT_TYPE_ARENA')::DOUBLE / count
     count(*) FILTER (won = 1)::DOUBLE / count(*) AS won FROM fight_w GROUP BY c) t
   ON t.c = u.c_custkey
 LEFT JOIN (SELECT c, entropy(kind) AS ent FROM fight_w GROUP BY c) e ON e.c = u.c_custkey
-LEFT JOIN (SELECT c, max(n) / median(n)::DOUBLE AS binge FROM (SELECT c, at::DATE AS d,
+LEFT JOIN (SELECT c, max(n) / median(n)::DOUBLE AS binge FROM (SELECT c, tsp::DATE AS d,
     count(*) AS n FROM fight_w GROUP BY c, d) GROUP BY c) b ON b.c = u.c_custkey"""
 
 ARENA = f"""SELECT {ID}, (a.c IS NOT NULL)::INT AS is_arena_player FROM customer u

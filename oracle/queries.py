@@ -160,13 +160,13 @@ WANTS["means"] = ["cats", "draws"]
 
 # --- clean-up --------------------------------------------------------------------------------------------
 # Every master column as text (for shares) or number (for correlations), one row per player.
-DEFS["texts"] = """UNPIVOT INCLUDE NULLS (SELECT COLUMNS(* EXCLUDE (user_id))::VARCHAR FROM m_churn)
-  ON COLUMNS(*) INTO NAME "column" VALUE v"""
+DEFS["texts"] = """SELECT * FROM (SELECT COLUMNS(* EXCLUDE (user_id))::VARCHAR FROM m_churn)
+  UNPIVOT INCLUDE NULLS (v FOR "column" IN (*))"""
 WANTS["texts"] = ["m_churn"]
 TEXT_COLUMNS = """country, language, focus, user_current_character, user_game_version,
   user_store_where_published, user_created_at, user_updated_at, device_primary_platform"""
-DEFS["nums"] = f"""UNPIVOT (SELECT user_id, COLUMNS(* EXCLUDE (user_id, {TEXT_COLUMNS}))::DOUBLE
-  FROM m_churn) ON COLUMNS(* EXCLUDE (user_id)) INTO NAME "column" VALUE v"""
+DEFS["nums"] = f"""SELECT * FROM (SELECT user_id, COLUMNS(* EXCLUDE (user_id, {TEXT_COLUMNS}))::DOUBLE
+  FROM m_churn) UNPIVOT (v FOR "column" IN (* EXCLUDE (user_id)))"""
 WANTS["nums"] = ["m_churn"]
 DEFS["shares"] = """SELECT "column", avg((v IS NULL)::INT) AS null_share FROM texts GROUP BY "column" """
 WANTS["shares"] = ["texts"]
@@ -291,7 +291,7 @@ def row_counts(names) -> str:
 
 
 REPORT_HEADERS = {n: c for n, c in HEADERS.items() if n != "devices"}
-REPORT_HEADERS["characters"] = HEADERS["characters"].replace(" level ", " ")
+REPORT_HEADERS["user_items"] = HEADERS["user_items"].replace(" enhance_level ", " ")
 
 STAT_COUNTS = "SELECT user_id, event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2"
 GOOD = "_all"
@@ -361,9 +361,12 @@ ORACLE = {
   SELECT schema, file, score, CASE WHEN schema IS NULL THEN 'info' WHEN n_missing_required > 0 THEN 'error'
     WHEN weak_match THEN 'warning' ELSE 'ok' END AS severity,
     CASE WHEN schema IS NULL THEN 'not recognised'
-    WHEN n_missing_required > 0 THEN 'missing required columns: level' WHEN weak_match THEN 'weak match'
+    WHEN n_missing_required > 0 THEN 'missing required columns: enhance_level' WHEN weak_match THEN 'weak match'
     ELSE 'recognised' END AS message FROM ({matched(REPORT_HEADERS)})
-  UNION ALL SELECT 'devices', NULL, NULL, 'warning', 'table not found: devices') r
+  UNION ALL SELECT schema, NULL, NULL, CASE WHEN schema IN ('users', 'characters') THEN 'error'
+    ELSE 'warning' END, 'table not found: ' || schema
+  FROM (SELECT DISTINCT schema FROM (VALUES {declared_values()}) t(place, schema, col, req)) WHERE schema NOT IN
+    (SELECT schema FROM ({matched(REPORT_HEADERS)}) WHERE schema IS NOT NULL)) r
   LEFT JOIN ({row_counts(REPORT_HEADERS)}) USING (file)""", ["score"]),
     "referential_subset": stmt(["cons", "subs", "line", "ord"], f"""SELECT * FROM (
   SELECT 'users' AS "table", count(*) AS n_rows FROM ({FIRST_USERS})

@@ -42,20 +42,20 @@ def half_even(x: str, digits: int) -> str:
 
 CTE = {
     "ord": """SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS st, o_totalprice AS price,
-        o_orderdate + to_hours(o_orderkey % 24) AS at, CAST(substr(o_orderpriority, 1, 1) AS INT) AS pr
+        o_orderdate + to_hours(o_orderkey % 24) AS tsp, CAST(substr(o_orderpriority, 1, 1) AS INT) AS pr
         FROM orders""",
-    "line": """SELECT l.*, o.o_custkey AS c, l.l_shipdate + to_hours(l.l_linenumber) AS at
+    "line": """SELECT l.*, o.o_custkey AS c, l.l_shipdate + to_hours(l.l_linenumber) AS tsp
         FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey""",
-    "tm": """SELECT date_trunc('day', max(at))::TIMESTAMP AS ref,
-        (date_trunc('day', max(at)) - INTERVAL 90 DAY)::TIMESTAMP AS cut FROM ord""",
+    "tm": """SELECT date_trunc('day', max(tsp))::TIMESTAMP AS ref,
+        (date_trunc('day', max(tsp)) - INTERVAL 90 DAY)::TIMESTAMP AS cut FROM ord""",
     "users": """SELECT c_custkey AS c, s.created, s.login, s.n_orders, c_acctbal, c_mktsegment,
         CASE WHEN c_nationkey <> 7 THEN n_name END AS country
-        FROM customer LEFT JOIN (SELECT c, min(at) AS created, max(at) AS login, count(*) AS n_orders
+        FROM customer LEFT JOIN (SELECT c, min(tsp) AS created, max(tsp) AS login, count(*) AS n_orders
             FROM ord GROUP BY c) s ON s.c = c_custkey
         LEFT JOIN nation ON n_nationkey = c_nationkey""",
-    "chars": """SELECT k, c, at AS created, at + to_days((k % 60)::INT) AS updated,
+    "chars": """SELECT k, c, tsp AS created, tsp + to_days((k % 60)::INT) AS updated,
         CASE WHEN pr <> 5 THEN pr - 1 END AS class,
-        CASE WHEN k % 11 <> 0 THEN floor(price / 10000) END AS level, price AS experience,
+        CASE WHEN k % 11 <> 0 THEN floor(price / 10000) END AS level, floor(price) AS experience,
         CASE WHEN st = 'F' THEN k % 5 END AS arena, CASE WHEN st <> 'O' THEN k % 100 END AS medals,
         CASE WHEN k % 6 < 4 THEN k % 6 IN (0, 2) END AS custom,
         (k % 7) * 10 AS talent, least((k % 7) * 10, k % 37) AS spent,
@@ -65,31 +65,30 @@ CTE = {
         FROM ord WHERE k % 97 <> 0""",
     "devices": """SELECT c, CASE WHEN st = 'F' THEN 'android' WHEN st = 'O' THEN 'ios'
             WHEN k % 2 = 1 THEN 'windows' END AS platform,
-        CASE WHEN k % 31 <> 0 THEN 'model-' || pr END AS model, at AS created,
-        CASE WHEN k % 17 <> 0 THEN at + to_days((k % 200)::INT) END AS updated FROM ord""",
-    "cons": """SELECT c, at AS bought,
+        CASE WHEN k % 31 <> 0 THEN 'model-' || pr END AS model, tsp AS created,
+        CASE WHEN k % 17 <> 0 THEN tsp + to_days((k % 200)::INT) END AS updated FROM ord""",
+    "cons": """SELECT c, tsp AS bought,
         CASE WHEN p_type = 'ECONOMY' THEN 'gems_economy' ELSE lower(p_type) END AS product
         FROM line JOIN part ON p_partkey = l_partkey WHERE l_discount = 0 AND l_tax >= 0.04""",
-    "subs": """SELECT c, at AS bought, CASE pr WHEN 1 THEN 'subs_monthly' WHEN 2 THEN 'subs_3_months'
+    "subs": """SELECT c, tsp AS bought, CASE pr WHEN 1 THEN 'subs_monthly' WHEN 2 THEN 'subs_3_months'
             ELSE 'subs_12_months' END AS product,
-        CASE WHEN k % 23 <> 0 THEN at + to_days(CASE pr WHEN 1 THEN 30 WHEN 2 THEN 90 ELSE 365 END) END
+        CASE WHEN k % 23 <> 0 THEN tsp + to_days(CASE pr WHEN 1 THEN 30 WHEN 2 THEN 90 ELSE 365 END) END
             AS ends,
         CASE WHEN k % 19 <> 0 THEN (price > 450000)::INT END AS trial
         FROM ord WHERE pr <= 3 AND price > 400000""",
-    "rewards": """SELECT k, c, at AS created,
-        CASE WHEN k % 29 <> 0 THEN at + to_days((k % 50)::INT) END AS updated,
-        CASE WHEN k % 21 <> 0 THEN day(at) - 1 END AS cur, k % 3 AS sets,
-        CASE WHEN k % 4 = 0 THEN 0 ELSE least(day(at), 20) END AS claimed,
-        CASE WHEN k % 10 <> 0 THEN at + INTERVAL 1 HOUR END AS claim_time,
-        CASE WHEN pr = 1 THEN day(at) ELSE 0 END AS prem,
-        CASE WHEN pr = 5 AND st = 'F' THEN day(at) WHEN pr <> 4 THEN 0 END AS ad,
-        CASE WHEN k % 3 = 0 THEN 'ObjectId(' ELSE '' END AS wrap FROM ord""",
-    "items": """SELECT c, l_partkey AS def, at AS created, nullif(l_discount, 0.0) AS critical,
-        l_extendedprice AS attack,
+    "rewards": """SELECT k, c, tsp AS created,
+        CASE WHEN k % 29 <> 0 THEN tsp + to_days((k % 50)::INT) END AS updated,
+        CASE WHEN k % 21 <> 0 THEN day(tsp) - 1 END AS cur, k % 3 AS sets,
+        CASE WHEN k % 4 = 0 THEN 0 ELSE least(day(tsp), 20) END AS claimed,
+        CASE WHEN k % 10 <> 0 THEN tsp + INTERVAL 1 HOUR END AS claim_time,
+        CASE WHEN pr = 1 THEN day(tsp) ELSE 0 END AS prem,
+        CASE WHEN pr = 5 AND st = 'F' THEN day(tsp) WHEN pr <> 4 THEN 0 END AS ad FROM ord""",
+    "items": """SELECT c, l_partkey AS def, tsp AS created, nullif(round_even(l_discount * 100, 0), 0.0) AS critical,
+        floor(l_extendedprice) AS attack,
         CASE WHEN l_linenumber <> 7 THEN l_quantity * 1900 END AS defense,
         CASE WHEN l_quantity = 50 THEN round_even(l_tax * 100, 0)
             ELSE least(round_even(l_tax * 100, 0), 2.0) END::INT AS enhance FROM line""",
-    "coll": "SELECT c, l_partkey AS def, at AS created FROM line WHERE l_quantity <> 13",
+    "coll": "SELECT c, l_partkey AS def, tsp AS created FROM line WHERE l_quantity <> 13",
     "feedback": """SELECT user_id AS c, event_type AS kind, ts - INTERVAL 8302 DAY AS created
         FROM events""",
     "currency": """SELECT user_id AS c,
@@ -99,13 +98,13 @@ CTE = {
         ts - INTERVAL 8218 DAY AS created FROM events""",
     "cur_w": """SELECT currency.* FROM currency, tm
         WHERE created >= ref - INTERVAL 30 DAY AND created <= ref""",
-    "fights": """SELECT l.l_orderkey AS k, l.l_shipdate + to_hours(l.l_linenumber) AS at,
+    "fights": """SELECT l.l_orderkey AS k, l.l_shipdate + to_hours(l.l_linenumber) AS tsp,
         CASE l_returnflag WHEN 'R' THEN 'FIGHT_TYPE_ARENA' WHEN 'A' THEN 'FIGHT_TYPE_DUNGEON'
             ELSE 'FIGHT_TYPE_TOWER' END AS kind,
         CASE WHEN l_linenumber <> 7 THEN (l_linestatus = 'F')::INT END AS won, l_returnflag AS flag
         FROM lineitem l""",
     "fight_w": """SELECT chars.c, fights.* FROM fights JOIN chars ON chars.k = fights.k, tm
-        WHERE at >= ref - INTERVAL 30 DAY AND at <= ref""",
+        WHERE tsp >= ref - INTERVAL 30 DAY AND tsp <= ref""",
     "live": """SELECT c_custkey AS c, ((c_custkey * 37 + 11) % 1009) / 1008.0::DOUBLE AS p7,
         ((c_custkey * 53 + 5) % 1009) / 1008.0::DOUBLE AS p14,
         ((c_custkey * 71) % 1009) / 1008.0::DOUBLE AS p30 FROM customer""",

@@ -70,7 +70,11 @@ def majority_shares(df: DataFrame, columns: Sequence[str], above: float = 0.95)
     if above < 0.80:
         return top_value_shares(df, columns).where(F.col("top_share") > above)
     value = {c: F.when(~_missing(df, c), F.col(f"`{c}`")) for c in columns}
-    hashed = {c: F.when(v.isNotNull(), F.xxhash64(v)) for c, v in value.items()}
+    # 52 bits: the quantile sketch keeps its values as doubles.
+    hashed = {
+        c: F.when(v.isNotNull(), F.xxhash64(v).bitwiseAND(F.lit(2**52 - 1)))
+        for c, v in value.items()
+    }
     groups = (
         df.select(
             F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_g"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +32,7 @@ from tidemark.operators.thresholds import fit_level, fit_taste
 from tidemark.plans import master as plans
 from tidemark.plans.score import run_metadata
 from tidemark.rules import ENCODED_COLUMNS, TARGETS, RuleBook
-from tidemark.sources.canonical import Tables, tables_from
+from tidemark.sources.canonical import Tables
 from tidemark.sources.identify import identify, table_headers, validation_report
 from tidemark.sources.readers import oof_scores
 from tidemark.sources.retail import Retail, export_id
@@ -57,16 +57,16 @@ class Inputs:
         self.retail = Retail(spark, folder)
 
     @cached_property
-    def raw(self) -> dict[str, DataFrame]:
+    def raw(self) -> Mapping[str, DataFrame]:
         return self.retail.exports()
 
     @cached_property
     def tables(self) -> Tables:
-        return tables_from(self.spark, self.raw)
+        return Tables(self.spark, self.raw)
 
     @cached_property
     def ctx(self) -> RunContext:
-        return run_context(self.tables.users)
+        return run_context(self.retail.last_logins())
 
     @cached_property
     def sample(self) -> DataFrame:
@@ -172,9 +172,9 @@ def schema_match(i: Inputs) -> DataFrame:
 
 
 def schema_report(i: Inputs) -> DataFrame:
-    """A directory without devices, whose characters lack their level."""
+    """A directory without devices, whose items lack their enhance level."""
     files = {n: df for n, df in i.raw.items() if n != "devices"}
-    files["characters"] = files["characters"].drop("level", "mana")
+    files["user_items"] = files["user_items"].drop("enhance_level")
     found = validation_report(table_headers(i.spark, files))
     return found.join(_row_counts(i, files), "file", "left")
 

@@ -7,7 +7,7 @@ timestamps. Nothing is materialised; the scan keeps only the columns a query end
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tidemark.functions import ids
 from tidemark.functions.numbers import no_nan
 from tidemark.functions.times import unix_seconds_to_ts
-from tidemark.sources.catalog import FILE_NAMES, READS
+from tidemark.sources.catalog import READS
 
 # Time formats tried after the ISO forms, in this order.
 EXTRA_TIME_FORMATS = ("yyyy/MM/dd HH:mm:ss", "yyyyMMdd'T'HHmmss'Z'")
@@ -115,27 +115,20 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return prepare(name, raw)
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The twelve prepared inputs of a run."""
-
-    users: DataFrame
-    characters: DataFrame
-    devices: DataFrame
-    iaps_consumables: DataFrame
-    iaps_subscriptions: DataFrame
-    daily_rewards: DataFrame
-    user_items: DataFrame
-    user_items_collection: DataFrame
-    support_feedback: DataFrame
-    currency_transactions: DataFrame
-    fights_log: DataFrame
-    arena_log: DataFrame
-
-
-def tables_from(spark: SparkSession, raw: dict[str, DataFrame]) -> Tables:
-    """Prepare what is there; tables that are not become empty ones."""
-    return Tables(**{
-        name: prepare(name, raw[name]) if name in raw else empty(spark, name)
-        for name in FILE_NAMES
-    })
+    """The twelve prepared inputs of a run, each built on first use and shared afterwards.
+
+    A table that is missing from ``raw`` is an empty one with the full schema.
+    """
+
+    def __init__(self, spark: SparkSession, raw: Mapping[str, DataFrame]) -> None:
+        self._spark, self._raw, self._ready = spark, raw, {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in READS:
+            raise AttributeError(name)
+        if name not in self._ready:
+            self._ready[name] = (
+                prepare(name, self._raw[name]) if name in self._raw else empty(self._spark, name)
+            )
+        return self._ready[name]

@@ -129,7 +129,7 @@ READS = {
         "store_where_published": "string", "template_item_stats_augment_update_done": "bool",
     },
     "characters": {
-        "_id": "string", "user_id": "id_raw", "is_npc": "bool", "class": "whole",
+        "_id": "id_raw", "user_id": "id_raw", "is_npc": "bool", "class": "whole",
         "level": "number", "experience": "number", "arena_category": "number", "medals": "number",
         "created_at": "ts", "updated_at": "ts", "is_customized": "string",
         "total_talent_points": "number", "spent_talent_points": "number",
@@ -149,7 +149,7 @@ READS = {
         "is_trial": "number",
     },
     "daily_rewards": {
-        "_id": "string", "user_id": "id_raw", "created_at": "ts", "updated_at": "ts",
+        "_id": "id_raw", "user_id": "id_raw", "created_at": "ts", "updated_at": "ts",
         "set": "number", "current_day": "number", "sets_completed": "number",
         "last_claimed_reward_day": "number", "last_claimed_reward_time": "unix_positive",
         "last_claimed_premium_reward_day": "number", "last_claimed_ad_reward_day": "number",

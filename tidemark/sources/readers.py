@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.rules import TARGETS
-from tidemark.sources.canonical import Tables, tables_from
+from tidemark.sources.canonical import Tables
 from tidemark.sources.catalog import FILE_NAMES, LOG_TABLES
 from tidemark.sources.identify import identify, table_headers
 
@@ -38,7 +38,7 @@ def read_directory(spark: SparkSession, directory: str) -> Tables:
         for file, df in raw.items():
             if file.split(".")[0] == stem:
                 tables[log] = df
-    return tables_from(spark, tables)
+    return Tables(spark, tables)
 
 
 def list_files(spark: SparkSession, directory: str) -> dict[str, str]:

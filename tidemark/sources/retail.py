@@ -7,9 +7,13 @@ unix seconds, and nulls are put in on purpose, because the source tables have no
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.catalog import FILE_NAMES
+
 # Event times move back by whole weeks, so that they end where the orders end.
 LOG_SHIFT_DAYS = 8218
 FEEDBACK_SHIFT_DAYS = 8302
@@ -39,14 +43,36 @@ def _null_when(cond: Column, value: Column) -> Column:
     return F.when(~cond, value)
 
 
+class _Exports(Mapping):
+    def __init__(self, retail: Retail) -> None:
+        self._retail = retail
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in FILE_NAMES:
+            raise KeyError(name)
+        return getattr(self._retail, name)()
+
+    def __iter__(self):
+        return iter(FILE_NAMES)
+
+    def __len__(self) -> int:
+        return len(FILE_NAMES)
+
+
 class Retail:
     """Lazy exports over one folder of Parquet tables."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._read = spark, folder, {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
+
+    def last_logins(self) -> DataFrame:
+        """The login times alone; every order belongs to a customer."""
+        return self.orders().select(F.col("at").alias("last_login_ts"))
 
     def orders(self) -> DataFrame:
         key = F.col("o_orderkey")
@@ -109,7 +135,7 @@ class Retail:
             F.when(key % 97 == 0, F.lit(True)).when(key % 13 != 0, F.lit(False)).alias("is_npc"),
             _null_when(F.col("priority") == 5, F.col("priority") - 1).alias("class"),
             _null_when(key % 11 == 0, F.floor(price / 10000)).alias("level"),
-            price.alias("experience"),
+            F.floor(price).alias("experience"),
             F.when(F.col("status") == "F", key % 5).alias("arena_category"),
             _null_when(F.col("status") == "O", key % 100).alias("medals"),
             at.alias("created_at"), _days(at, key % 60).alias("updated_at"),
@@ -186,8 +212,9 @@ class Retail:
         return self.owned_lines().select(
             export_id(F.col("o_custkey")).alias("user_id"),
             F.col("l_partkey").alias("item_definition_excel_id"),
-            F.nullif(F.col("l_discount"), F.lit(0.0)).alias("c_base_critical_chance"),
-            F.col("l_extendedprice").alias("c_base_attack_enhanced"),
+            # whole numbers: their sums, and so their means, do not depend on the order of the rows
+            F.nullif(F.rint(F.col("l_discount") * 100), F.lit(0.0)).alias("c_base_critical_chance"),
+            F.floor(F.col("l_extendedprice")).alias("c_base_attack_enhanced"),
             _null_when(F.col("l_linenumber") == 7, F.col("l_quantity") * 1900)
             .alias("c_base_defense_enhanced"),
             F.when(F.col("l_quantity") == 50, tax).otherwise(F.least(tax, F.lit(2.0))).cast("int")
@@ -247,10 +274,8 @@ class Retail:
             F.unix_seconds(at).alias("time_attacked"),
         )
 
-    def exports(self) -> dict[str, DataFrame]:
-        from tidemark.sources.catalog import FILE_NAMES
-
-        return {name: getattr(self, name)() for name in FILE_NAMES}
+    def exports(self) -> Mapping[str, DataFrame]:
+        return _Exports(self)
 
     # Score tables: a fixed arithmetic of the keys, so that every branch of the rules occurs.
 

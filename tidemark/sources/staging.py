@@ -1,4 +1,4 @@
-"""Written intermediate tables, sinks and checked broadcasts."""
+"""Written intermediate tables, sinks and the broadcast bound."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+# A side of a join is broadcast only if it was counted and has at most this many rows.
 SMALL_ROWS = 100_000
 
 
@@ -36,13 +36,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; beyond the bound the join shuffles as usual."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = None) -> None:
     """Final sink. ``by`` lays the output out in one folder per value."""
     writer = df.write.mode("overwrite").format(fmt)
