@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 # fixed values: id patterns
 WRAPPED_ID = r"ObjectId\(?'?([a-f0-9]+)'?\)?"
 HEX_ID = "[0-9a-f]{24}"
+_MARKER = "ObjectId"
 
 
-def _unwrapped(c: Column) -> Column:
-    # The marker test is a plain substring search; only rows that pass it pay for the regex.
-    return F.when(
-        F.contains(c, F.lit("ObjectId")),
-        F.nullif(F.regexp_extract(c, WRAPPED_ID, 1), F.lit("")),
-    )
+def _unwrap(c: Column) -> Column:
+    """The id inside the first wrapper; a string without one stays as it is (one regex pass)."""
+    return F.regexp_replace(c, f"(?s)^.*?{WRAPPED_ID}.*$", "$1")
 
 
 def wrapped_or_raw(c: Column) -> Column:
     """``ObjectId('ab12')`` -> ``ab12``; any other string passes through."""
-    return F.coalesce(_unwrapped(c), c)
+    # The marker test is a plain substring search; only rows that pass it pay for the regex.
+    return F.when(F.contains(c, F.lit(_MARKER)), _unwrap(c)).otherwise(c)
 
 
 def wrapped_or_strict(c: Column) -> Column:
     """As above, but a bare string must be exactly 24 hex characters."""
-    return F.coalesce(_unwrapped(c), F.when(c.rlike(f"^{HEX_ID}$"), c))
+    inner = _unwrap(c)
+    return F.when(F.contains(c, F.lit(_MARKER)), F.when(inner != c, inner)).otherwise(
+        F.when(c.rlike(f"^{HEX_ID}$"), c)
+    )
 
 
 def first_hex_run(c: Column) -> Column:
     """The first run of 24 hex characters anywhere, else null."""
-    return F.nullif(F.regexp_extract(c, HEX_ID, 0), F.lit(""))
+    return F.get(F.regexp_extract_all(c, F.lit(HEX_ID), F.lit(0)), F.lit(0))

@@ -86,11 +86,13 @@ def prepare(name: str, raw: DataFrame) -> DataFrame:
             cols.append(F.lit(None).cast(SQL_TYPES[kind]).alias(col))
     if name == "users":
         return _users(raw, have, cols)
-    out = raw.select(*cols)
+    # The raw null test reaches the scan. An id without a readable part becomes null here and
+    # meets no player later; testing the cleaned id instead would clean every id twice.
+    key = {"fights_log": "player_id", "arena_log": "attacker_id"}.get(name, "user_id")
+    out = raw.where(F.col(key).isNotNull()).select(*cols)
     if name == "characters":
         out = out.where(~F.coalesce(F.col("is_npc"), F.lit(False)))
-    key = {"fights_log": "player_id", "arena_log": "attacker_id"}.get(name, "user_id")
-    return out.where(F.col(key).isNotNull())
+    return out
 
 
 def _users(raw: DataFrame, have: dict, cols: list[Column]) -> DataFrame:

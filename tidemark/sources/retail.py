@@ -52,6 +52,9 @@ class _Exports(Mapping):
             raise KeyError(name)
         return getattr(self._retail, name)()
 
+    def __contains__(self, name: object) -> bool:
+        return name in FILE_NAMES  # without building the table
+
     def __iter__(self):
         return iter(FILE_NAMES)
 
