@@ -17,26 +17,31 @@ BUILD_PROBS = {"build_t33": 0.33, "build_t67": 0.67}
 COLLECTION_PROBS = {"collection_p75": 0.75}
 
 
-def fit_column(df: DataFrame, column: str, probs: dict[str, float]) -> dict[str, float | None]:
-    """Exact interpolated percentiles of one column, by name."""
-    values = df.select(column).where(df[column].isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+def fit_columns(
+    df: DataFrame, probs: dict[str, dict[str, float]]
+) -> dict[str, float | None]:
+    """Exact interpolated percentiles by name, for ``{column: {name: probability}}``."""
+    values = df.select(*probs).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted: dict[str, float | None] = {}
     try:
-        fitted = percentiles(values, column, list(probs.values()))[None]
+        for column, named in probs.items():
+            found = percentiles(values.where(values[column].isNotNull()), column, list(named.values()))
+            fitted |= dict(zip(named, found[None]))
     finally:
         values.unpersist()
-    return dict(zip(probs, fitted))
+    return fitted
 
 
 def fit_level(characters: DataFrame, sample: DataFrame) -> dict[str, float | None]:
     """Level percentiles over the sample's characters."""
-    return fit_column(in_sample(characters, sample), "level", LEVEL_PROBS)
+    return fit_columns(in_sample(characters, sample), {"level": LEVEL_PROBS})
 
 
 def fit_taste(master: DataFrame) -> dict[str, float | None]:
     """Terciles of the build ratio and the upper quartile of the collection size."""
-    return fit_column(master, "items_attack_defense_ratio", BUILD_PROBS) | fit_column(
-        master, "coll_total_items", COLLECTION_PROBS
-    )
+    return fit_columns(master, {
+        "items_attack_defense_ratio": BUILD_PROBS, "coll_total_items": COLLECTION_PROBS,
+    })
 
 
 def fit_thresholds(master: DataFrame, characters: DataFrame, sample: DataFrame) -> TasteThresholds:
