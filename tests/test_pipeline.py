@@ -8,10 +8,12 @@ from tests.conftest import by_key, oid
 from tidemark.operators import report
 from tidemark.operators.models import ForestParams, fit_archetypes, fit_churn
 from tidemark.operators.sample import churn_labels
-from tidemark.plans.master import churn_columns, churn_master, taste_master
+from tidemark.plans.job import InvalidInput, run_job
+from tidemark.plans.master import churn_columns, taste_master
 from tidemark.plans.score import score_players, summary_document, write_run
 from tidemark.rules import RuleBook
 from tidemark.sources.canonical import Tables, prepare
+from tidemark.sources.catalog import FILE_NAMES, SCHEMAS
 from tidemark.sources.retail import Retail
 from tidemark.sources.staging import read_document, stage
 from tidemark.streaming.daily_counts import (
@@ -54,6 +56,25 @@ def test_end_to_end(spark, ctx, tmp_path):
     assert meta["stage_6_status"] == "ok" and meta["reference_date"] == "2001-08-01" and len(meta["models"]) == 3
     assert spark.read.parquet(str(tmp_path / "ranked_players")).count() == 150
 
+    models.save(str(tmp_path / "models"))
+    archetypes.save(str(tmp_path / "models"))
+    for name, usual in FILE_NAMES.items():
+        export = retail.exports()[name]
+        for c in SCHEMAS[name].optional if name in SCHEMAS else ():
+            if c not in export.columns:
+                export = export.withColumn(c, F.lit(None).cast("string"))
+        export.write.parquet(str(tmp_path / "in" / usual.replace(".csv", ".parquet")))
+    retail.stored_scores().write.parquet(str(tmp_path / "oof.parquet"))
+    args = (str(tmp_path / "in"), str(tmp_path / "job"), str(tmp_path / "models"), "v1", "a1")
+    job = run_job(spark, *args, oof_path=str(tmp_path / "oof.parquet"))
+    again = spark.read.parquet(str(tmp_path / "job" / "predictions_full"))
+    assert again.exceptAll(full).count() == 0 and full.exceptAll(again).count() == 0
+    assert job.staged == [] and job.full.count() == 150
+    (tmp_path / "nothing").mkdir()
+    with pytest.raises(InvalidInput, match="no input tables"):
+        run_job(spark, str(tmp_path / "nothing"), str(tmp_path / "bad"), *args[2:])
+    assert "no input tables" in read_document(spark, str(tmp_path / "bad" / "pipeline_error"))["error"]
+
     broken = score_players(spark, t, models, None, None, ctx=when)
     assert broken.profile_status == "skipped" and "no archetype model" in broken.profile_error
     assert broken.full.columns == full.columns and broken.business.columns == business.columns

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ from tidemark.plans.master import churn_columns, taste_master
 from tidemark.rules import RuleBook
 from tidemark.sources.canonical import Tables
 from tidemark.sources.readers import oof_scores
-from tidemark.sources.staging import stage, write_document, write_table
+from tidemark.sources.staging import discard, stage, write_document, write_table
 
 
 @dataclass
@@ -30,6 +30,7 @@ class ScoringRun:
     full: DataFrame
     profile_status: str
     profile_error: str | None
+    staged: list[str] = field(default_factory=list)
 
     @property
     def business(self) -> DataFrame:
@@ -48,23 +49,24 @@ def score_players(
     """
     rules = rules or RuleBook()
     ctx = ctx or run_context(tables.users)
-    master = stage(taste_master(tables, ctx, rules=rules), "master")
+    staged: list[str] = []
+    master = stage(taste_master(tables, ctx, rules=rules), "master", staged)
     live = models.score(master.select(*churn_columns(master.columns)))
     scores = stage(
         reconcile(live, oof_scores(spark, stored_oof), rules.drift_threshold, models.targets),
-        "scores",
+        "scores", staged,
     )
     try:
         if archetypes is None:
             raise LookupError("no archetype model")
-        codes = stage(archetypes.assign(master), "archetypes")
-        profile = stage(taste_profile(master, codes, rules), "taste")
+        codes = stage(archetypes.assign(master), "archetypes", staged)
+        profile = stage(taste_profile(master, codes, rules), "taste", staged)
         full = report.full_predictions(scores, codes, profile, rules)
         status, error = "ok", None
     except Exception as e:  # scores are worth delivering without a profile
         full = report.without_archetypes(scores)
         status, error = "skipped", repr(e)[:500]
-    return ScoringRun(ctx, scores, full, status, error)
+    return ScoringRun(ctx, scores, full, status, error, staged)
 
 
 def run_metadata(
@@ -109,11 +111,14 @@ def write_run(
     spark: SparkSession, run: ScoringRun, models: ChurnModels, folder: str,
     rules: RuleBook | None = None, started: float | None = None,
 ) -> None:
-    """All sinks of a run. Parquet keeps the literal 'null' axis value apart from a missing one."""
+    """All sinks of a run; its staged tables go once everything is written.
+
+    Parquet keeps the literal 'null' axis value apart from a missing one. The other sinks read the
+    written predictions instead of computing them again.
+    """
     rules = rules or RuleBook()
-    full = stage(run.full, "predictions")
-    run.full = full
-    write_table(full, f"{folder}/predictions_full")
+    write_table(run.full, f"{folder}/predictions_full")
+    full = run.full = spark.read.parquet(f"{folder}/predictions_full")
     write_table(full, f"{folder}/predictions_full_csv", "csv")
     write_table(run.business, f"{folder}/predictions")
     write_table(run.business, f"{folder}/predictions_csv", "csv")
@@ -128,3 +133,5 @@ def write_run(
         "stage_6_error": run.profile_error,
         "models": [r.asDict() for r in models.summary(spark).collect()],
     }, f"{folder}/run_metadata")
+    run.scores = full.select("user_id", *report.score_columns(models.targets))
+    discard(spark, run.staged)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.rules import TARGETS
 from tidemark.sources.canonical import Tables
-from tidemark.sources.catalog import FILE_NAMES, LOG_TABLES
+from tidemark.sources.catalog import FILE_NAMES, LOG_TABLES, SCHEMAS
 from tidemark.sources.identify import identify, table_headers
 
 
@@ -26,19 +26,27 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def pick_tables(spark: SparkSession, files: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """{table: file contents}: snapshot tables by their headers, logs by their names.
+
+    A thin export can miss so many optional columns that its header identifies nothing; it is
+    still taken if it has the usual name and every required column.
+    """
+    found = identify(table_headers(spark, files)).where(F.col("schema").isNotNull())
+    tables = {r["schema"]: files[r["file"]] for r in found.collect()}  # one per schema at most
+    named = {file.split(".")[0]: df for file, df in files.items()}
+    for table, usual in FILE_NAMES.items():
+        df = named.get(usual.removesuffix(".csv"))
+        if table in tables or df is None:
+            continue
+        if table in LOG_TABLES or set(SCHEMAS[table].required) <= set(df.columns):
+            tables[table] = df
+    return tables
+
+
 def read_directory(spark: SparkSession, directory: str) -> Tables:
-    """Find the snapshot tables of a directory by their headers, and the logs by name."""
     files = list_files(spark, directory)
-    raw = {name: read_table(spark, path) for name, path in files.items()}
-    found = identify(table_headers(spark, raw)).where(F.col("schema").isNotNull())
-    by_schema = {r["schema"]: r["file"] for r in found.collect()}  # at most one per schema
-    tables = {schema: raw[file] for schema, file in by_schema.items()}
-    for log in LOG_TABLES:
-        stem = FILE_NAMES[log].removesuffix(".csv")
-        for file, df in raw.items():
-            if file.split(".")[0] == stem:
-                tables[log] = df
-    return Tables(spark, tables)
+    return Tables(spark, pick_tables(spark, {n: read_table(spark, p) for n, p in files.items()}))
 
 
 def list_files(spark: SparkSession, directory: str) -> dict[str, str]:

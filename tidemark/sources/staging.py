@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,30 +13,42 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 100_000
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tidemark-{application}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables; a temporary one only if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, written: list[str] | None = None) -> DataFrame:
     """Write a table once and read it back.
 
     This cuts the lineage on storage every executor reaches, so a lost executor costs one re-read,
-    and later queries scan only the columns they use.
+    and later queries scan only the columns they use. The path is added to ``written``.
     """
     path = staging_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
+    if written is not None:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, written: list[str]) -> None:
+    """Remove staged tables once their readers are done."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = None) -> None:
     """Final sink. ``by`` lays the output out in one folder per value."""
     writer = df.write.mode("overwrite").format(fmt)
