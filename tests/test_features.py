@@ -269,3 +269,28 @@ def test_duplicate_players_fail(spark, ctx):
     t = Tables(spark, {"users": spark.createDataFrame(rows, schema)})
     with pytest.raises(PySparkException, match="duplicate player id"):
         plans.churn_master(t, ctx).collect()
+
+
+def test_one_player_owns_a_third_of_the_rows(tables, ctx, spark):
+    """A hot player, checked against plain counting; and nothing is keyed by the player alone first."""
+    import math
+    from collections import Counter
+
+    schema = "user_id string, item_definition_excel_id int, enhance_level int, created_at string"
+    rows = [(oid(1), i * i % 301, i % 7, "2025-12-01") for i in range(1500)]
+    rows += [(oid(2 + i % 900), i % 11, i % 3, "2025-12-02") for i in range(3000)]
+    t = tables(users=TWO, user_items=(rows, schema))
+    got = by_key(plans.features("items", sample_of(t, ctx), t, ctx, part=BOTH))
+    for user in (1, 2):
+        mine = [r for r in rows if r[0] == oid(user)]
+        counts, n = Counter(r[1] for r in mine), len(mine)
+        row = got[oid(user)]
+        assert row["items_total_instances"] == n and row["items_unique_definitions"] == len(counts)
+        assert row["entropy_items_family"] == pytest.approx(
+            -sum(c / n * math.log2(c / n) for c in counts.values()))
+        assert row["simpson_items_family"] == pytest.approx(1 - sum((c / n) ** 2 for c in counts.values()))
+        assert row["items_total_enhance_invested"] == sum(r[2] for r in mine)
+    built = plans.ALL_BLOCKS["items"].build(t, ctx, plans.RuleBook(), BOTH)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "item_definition_excel_id" in exchanges[-1] and "partial_" in plan

@@ -58,13 +58,14 @@ def share_of_all(n: Column, digits: int) -> Column:
 
 def target_summary(predictions: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
     """Per target: source counts, mean and median final score, spread of the delta."""
-    long = None
-    for t in targets:
-        one = predictions.select(
+    # One scan: every player row opens into one row per target.
+    long = predictions.select(F.inline(F.array(*[
+        F.struct(
             F.lit(t).alias("target"), F.col(f"{t}_source").alias("source"),
             F.col(f"{t}_final").alias("final"), F.col(f"{t}_delta").alias("delta"),
         )
-        long = one if long is None else long.unionByName(one)
+        for t in targets
+    ])))
     # The median is an exact order statistic over all players, so it gets its own passes.
     finals = long.select("target", "final").where("final is not null").persist(
         StorageLevel.MEMORY_AND_DISK
