@@ -6,6 +6,8 @@ own aggregates' exchanges and none for the joins.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 
 from tidemark.context import RunContext
@@ -66,17 +68,24 @@ def _base(tables: Tables, ctx: RunContext, part: Part, sample: DataFrame | None)
 
 def master(
     tables: Tables, ctx: RunContext, rules: RuleBook | None = None, part: Part = BOTH,
-    sample: DataFrame | None = None,
+    sample: DataFrame | None = None, wanted: Collection[str] | None = None,
 ) -> DataFrame:
-    """``part=CHURN`` gives the churn master, ``BOTH`` the taste master (a superset of it)."""
+    """``part=CHURN`` gives the churn master, ``BOTH`` the taste master (a superset of it).
+
+    With ``wanted`` only the blocks that supply one of these columns are planned at all.
+    """
     rules = rules or RuleBook()
+
+    def needed(block: Block, mine: Part) -> bool:
+        return wanted is None or not set(wanted).isdisjoint(block.columns(mine))
+
     out = _base(tables, ctx, part, sample)
     for block in SNAPSHOT_BLOCKS:
         mine = Part(part.churn and bool(block.churn), part.taste and bool(block.taste))
-        if mine.churn or mine.taste:
+        if (mine.churn or mine.taste) and needed(block, mine):
             out = attach(out, block, block.build(tables, ctx, rules, mine), mine)
     if part.taste:
-        for block in LOG_BLOCKS:
+        for block in (b for b in LOG_BLOCKS if needed(b, TASTE)):
             out = attach(out, block, block.build(tables, ctx, rules, TASTE), TASTE)
     return out
 

@@ -27,7 +27,9 @@ from tidemark.operators.segment import (
     archetype_name, cross, crossed_predictions, priority, risk_level, segmentation,
 )
 from tidemark.operators.split import stratified_split
-from tidemark.operators.taste import assign_actions, taste_axes, taste_profile
+from tidemark.operators.taste import (
+    RECENT_FEATURES, UNIVERSAL_FEATURES, assign_actions, taste_axes, taste_profile,
+)
 from tidemark.operators.thresholds import fit_level, fit_taste
 from tidemark.plans import master as plans
 from tidemark.plans.score import run_metadata
@@ -76,6 +78,12 @@ class Inputs:
     def master(self) -> DataFrame:
         return plans.taste_master(self.tables, self.ctx, rules=self.rules)
 
+    @cached_property
+    def taste_features(self) -> DataFrame:
+        """The master reduced to the blocks the axes read."""
+        wanted = (*UNIVERSAL_FEATURES, *RECENT_FEATURES)
+        return plans.taste_master(self.tables, self.ctx, rules=self.rules, wanted=wanted)
+
     @cached_property
     def archetypes(self) -> DataFrame:
         return self.retail.archetypes()
@@ -91,7 +99,7 @@ class Inputs:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return taste_profile(self.master, self.archetypes, self.rules)
+        return taste_profile(self.taste_features, self.archetypes, self.rules)
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -206,7 +214,7 @@ def stat(name: str) -> Callable[[Inputs], DataFrame]:
 
 
 def threshold_fit(i: Inputs) -> DataFrame:
-    fitted = fit_taste(i.master) | fit_level(i.tables.characters, i.sample)
+    fitted = fit_taste(i.taste_features) | fit_level(i.tables.characters, i.sample)
     rows = [(k, v) for k, v in fitted.items()]
     return i.spark.createDataFrame(rows, "threshold string, value double")
 
@@ -368,11 +376,11 @@ def priority_rules(i: Inputs) -> DataFrame:
 
 
 def taste_axes_query(i: Inputs) -> DataFrame:
-    return taste_axes(i.master, i.archetypes, i.rules)
+    return taste_axes(i.taste_features, i.archetypes, i.rules)
 
 
 def countermeasure_assign(i: Inputs) -> DataFrame:
-    axes = taste_axes(i.master, i.archetypes, i.rules)
+    axes = taste_axes(i.taste_features, i.archetypes, i.rules)
     return assign_actions(axes, i.rules).select(
         "user_id", "contramedida_primaria_cod", "contramedida_primaria_label"
     )
