@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,26 +16,41 @@ SMALL_ROWS = 100_000
 
 @cache
 def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"tidemark-{application}-")
+    return "file://" + tempfile.mkdtemp(prefix=f"tidemark-{application}-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a temporary one only if unset."""
+    """The folder that ``spark.checkpoint.dir`` names for intermediate tables.
+
+    Where it is unset, a session that runs in one machine gets a folder of its own. On a cluster
+    executors would not see each other's files there, so the setting is required.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _own_folder(spark.sparkContext.applicationId)
+    return folder.rstrip("/")
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def stage(df: DataFrame, label: str, written: list[str] | None = None) -> DataFrame:
     """Write a table once and read it back.
 
     This cuts the lineage on storage every executor reaches, so a lost executor costs one re-read,
-    and later queries scan only the columns they use. The path is added to ``written``.
+    and later queries scan only the columns they use. The path is added to ``written``; whatever its
+    owner does not discard goes when the application ends.
     """
     path = staging_path(df.sparkSession, label)
+    target = _hadoop_path(df.sparkSession, path)
+    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     df.write.mode("overwrite").parquet(path)
     if written is not None:
         written.append(path)
@@ -45,7 +61,7 @@ def discard(spark: SparkSession, written: list[str]) -> None:
     """Remove staged tables once their readers are done."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.pop())
+        path = _hadoop_path(spark, written.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
