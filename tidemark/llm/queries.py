@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pieces, simhash
+from tidemark.llm import ctw, pieces, simhash
 from tidemark.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram baseline and context-tree score of every document."""
+    return ctw.score(read_table(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document as digests, and whether the spans cover the source."""
     out = pieces.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
@@ -31,6 +36,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_tree": op1_context_tree,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_simhash": op7_simhash,
 }
