@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctw, pieces, simhash
+from tidemark.llm import ctw, kneser_ney, pieces, simhash
 from tidemark.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -35,10 +35,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, the threshold of its language, and whether it is kept."""
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return kneser_ney.classify(docs, labels).drop("row_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_simhash": op7_simhash,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 #: DuckDB statements; the other queries are tested against brute force.
