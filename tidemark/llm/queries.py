@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctw, kneser_ney, pieces, simhash
+from tidemark.llm import crf, ctw, kneser_ney, pieces, simhash
 from tidemark.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -19,6 +19,16 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(read_table(spark, sf_dir, "documents"), folds=7, fold=2)
 
 
+def op2_toxic_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, with the number of offending tokens."""
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    out = crf.score(docs.select("doc_id", "text"), labels, folds=5, fold=0)
+    return out.select(
+        "row.doc_id", ctw.held_out("row.doc_id", 5, 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("spans").alias("n_spans"),
+    )
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document as digests, and whether the spans cover the source."""
     out = pieces.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
@@ -43,6 +53,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
+    "op2_toxic_chain": op2_toxic_chain,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_simhash": op7_simhash,
     "op10_kneser_ney": op10_kneser_ney,
