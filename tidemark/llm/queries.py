@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crf, ctw, kneser_ney, pieces, simhash
+from tidemark.llm import crf, ctw, kdtree, kmeans_tree, kneser_ney, mixing, pca_tiles, pieces, simhash, tag_paths
 from tidemark.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -39,12 +39,41 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of near equal bytes, with its slot in the shard."""
+    out = kdtree.shard(read_table(spark, sf_dir, "documents"), leaves=40)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every embedding whose id is divisible by 20."""
+    return kmeans_tree.search(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op6_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return tag_paths.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint over 3-word shingles and the component of links of at most 3 bits."""
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, distance=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, fitted rate and drawn copies of every document."""
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return mixing.mix(docs.select("doc_id", "text", "lang"), labels).drop("row_key")
+
+
+def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 or more among embeddings of a label, and their components."""
+    return pca_tiles.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document, the threshold of its language, and whether it is kept."""
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -55,7 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
     "op2_toxic_chain": op2_toxic_chain,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_kd_tree": op4_kd_tree,
+    "op5_kmeans_tree": op5_kmeans_tree,
+    "op6_tag_paths": op6_tag_paths,
     "op7_simhash": op7_simhash,
+    "op8_soft_mixing": op8_soft_mixing,
+    "op9_pca_tiles": op9_pca_tiles,
     "op10_kneser_ney": op10_kneser_ney,
 }
 
