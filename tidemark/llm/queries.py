@@ -59,8 +59,8 @@ def op6_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint over 3-word shingles and the component of links of at most 3 bits."""
-    out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, distance=3)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, index=simhash.BITS)
+    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
