@@ -64,53 +64,69 @@ def _kt(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(zero + one > 0, block, 0.0), (one + 0.5) / (zero + one + 1)
 
 
+def _slices(n: int, size: int = 1_024) -> list[slice]:
+    return [slice(a, min(a + size, n)) for a in range(0, n, size)]
+
+
 class ContextTree:
     """Log10 probabilities of the next byte for every context that stands in the tree."""
 
     def __init__(self, depth: int, keys: list[np.ndarray], counts: list[np.ndarray]):
-        """``keys[d]`` are sorted contexts of d bytes (latest lowest), closed under shortening."""
+        """``keys[d]`` are sorted contexts of d bytes (latest lowest), closed under shortening.
+
+        Levels are worked through in slices and kept in single precision, as the tree is built on the driver.
+        """
         self.depth = depth
         parents = [np.searchsorted(keys[d - 1], keys[d] & np.uint64((1 << 8 * (d - 1)) - 1)) if d else None for d in range(len(keys))]
-        weigh, rests = self._weights(keys, counts, parents)
+        weigh, below = self._weights(counts, parents)
         first = np.cumsum([0, *map(len, keys)])
         self.log10 = np.zeros((first[-1], 256), np.float32)
         self.longer = np.full((first[-1], 256), -1, np.int32)
-        mixed = left = final = None
+        above = tuple(np.full((1, 256), x, np.float32) for x in (0.0, 1.0, 0.5))
         for d in range(len(keys)):
-            total = _nodes(counts[d])
-            own, seen = _kt(total)[1], total[:, :256] > 0
+            up = parents[d] if d else np.zeros(len(keys[0]), np.int64)
             if d:
-                up = parents[d]
-                base, rest_of_weight, above = mixed[up], left[up], final[up]
                 self.longer[first[d - 1] + up, (keys[d] >> np.uint64(8 * (d - 1))).astype(np.int64)] = np.arange(first[d], first[d + 1])
-            else:
-                base, rest_of_weight, above = 0.0, 1.0, 0.5
-            mixed = base + rest_of_weight * weigh[d] * own
-            left = rest_of_weight * (1 - weigh[d])
-            # Below a cut the one more branch predicts; nodes it never met are left to this context.
-            below, met = rests[d]
-            final = np.where(seen, mixed + left * np.where(met, below, own), above)
-            self.log10[first[d] : first[d + 1]] = _byte_logs(final)
+            level = tuple(np.empty((len(keys[d]), 256), np.float32) for _ in range(3))
+            for at in _slices(len(keys[d])):
+                total = _nodes(counts[d][at])
+                own, seen = _kt(total)[1], total[:, :256] > 0
+                mixed, left, final = (x[up[at]].astype(np.float64) for x in above)
+                stop = weigh[d][at].astype(np.float64)
+                mixed += left * stop * own
+                left *= 1 - stop
+                # Below a cut the one more branch predicts; nodes it never met are left to this context.
+                rest = below[d][at].astype(np.float64)
+                final = np.where(seen, mixed + left * np.where(np.isnan(rest), own, rest), final)
+                for x, y in zip(level, (mixed, left, final), strict=True):
+                    x[at] = y
+                self.log10[first[d] + at.start : first[d] + at.stop] = _byte_logs(final)
+            above, counts[d], weigh[d], below[d] = level, None, None, None
 
     @staticmethod
-    def _weights(keys, counts, parents):
-        """Posterior weight of stopping at each node, and what the cut-off branch predicts."""
-        weigh, rests, deeper = [None] * len(keys), [None] * len(keys), None
-        for d in range(len(keys) - 1, -1, -1):
-            own, _ = _kt(_nodes(counts[d]))
-            if d == len(keys) - 1:
-                weigh[d], rests[d], deeper = np.ones_like(own), (np.zeros_like(own), np.zeros_like(own, bool)), own
-                continue
-            rest = counts[d].astype(np.float64)
-            split = np.zeros_like(own)
-            np.subtract.at(rest, parents[d + 1], counts[d + 1])
-            np.add.at(split, parents[d + 1], deeper)
-            total = _nodes(rest)
-            block, below = _kt(total)
-            split += block
-            both = np.logaddexp(own, split)
-            weigh[d], rests[d], deeper = np.exp(own - both), (below, total[:, :256] > 0), both - _LOG_2
-        return weigh, rests
+    def _weights(counts, parents):
+        """Posterior weight of stopping at each node, and what the cut-off branch predicts (NaN: never met)."""
+        weigh, below, deeper = [None] * len(counts), [None] * len(counts), None
+        for d in range(len(counts) - 1, -1, -1):
+            n = len(counts[d])
+            weigh[d], below[d], after = np.ones((n, 256), np.float32), np.full((n, 256), np.nan, np.float32), np.empty((n, 256))
+            inner = d < len(counts) - 1
+            if inner:
+                rest, split = counts[d].copy(), np.zeros((n, 256))
+                np.subtract.at(rest, parents[d + 1], counts[d + 1])
+                np.add.at(split, parents[d + 1], deeper)
+            for at in _slices(n):
+                own, _ = _kt(_nodes(counts[d][at]))
+                if inner:
+                    total = _nodes(rest[at])
+                    block, ones = _kt(total)
+                    both = np.logaddexp(own, split[at] + block)
+                    weigh[d][at] = np.exp(own - both)
+                    below[d][at] = np.where(total[:, :256] > 0, ones, np.nan)
+                    own = both - _LOG_2
+                after[at] = own
+            deeper = after
+        return weigh, below
 
     def logs(self, data: np.ndarray) -> np.ndarray:
         """Log10 probability of data[i] after its ``depth`` predecessors, for i >= depth."""
