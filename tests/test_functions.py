@@ -97,6 +97,8 @@ def test_category_counts_in_one_pass(spark):
     [3.0] * 900 + [float(i) for i in range(100)],
     [random.Random(3).gauss(0, 1) for _ in range(5000)],
     [4.5],
+    [-1.7e308, 1.7e308, 0.0, 1e308, -1e308],
+    [0.0, 5e-324, 5e-324],
 ])
 def test_percentiles_are_exact(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
@@ -104,6 +106,20 @@ def test_percentiles_are_exact(spark, values):
     assert percentiles(df, "v", probs)[None] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
 
 
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, 3.0, float("inf")],
+    [float("-inf"), 0.0, 1.0, 2.0, float("inf"), float("inf"), 5.0],
+    [float("-inf"), float("inf")],
+])
+def test_ranks_and_percentiles_with_infinities(spark, values):
+    """Between equal values lies the value; numpy says NaN between two infinities, so ranks are the measure."""
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = ranked_values(df, "v", {None: list(range(1, len(values) + 1))})
+    assert [got[(None, r)] for r in range(1, len(values) + 1)] == sorted(values)
+    steps = [i / (len(values) - 1) for i in range(len(values))]
+    assert percentiles(df, "v", steps)[None] == pytest.approx(sorted(values))
+
+
 def test_percentiles_per_group_and_without_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 7.0), ("c", None)], "g string, v double")
     assert percentiles(df, "v", [0.5], by="g") == {"a": [1.5], "b": [7.0], "c": [None]}

@@ -5,6 +5,7 @@ from tests.conftest import by_key
 from tidemark import rules as R
 from tidemark.operators.dictionary import action_dim, archetype_dim, axis_dim, dictionary, source_dim
 from tidemark.operators.reconcile import reconcile
+from tidemark.operators.report import without_archetypes
 from tidemark.operators.segment import archetype_name, cross, priority, risk_level, segmentation
 from tidemark.operators.taste import RECENT_FEATURES, UNIVERSAL_FEATURES, taste_profile
 from tidemark.rules import RuleBook
@@ -136,3 +137,19 @@ def test_dictionary(spark):
     assert axis_dim(spark).count() == 7 and source_dim(spark).count() == 3
     assert len(R.CHURN_FEATURES) == 62 and len(R.ARCHETYPE_FEATURES) == 78
     assert sum(len(v) for v in R.FEEDBACK_CATEGORIES.values()) == 25
+
+
+def test_a_missing_live_score_is_unknown(spark):
+    live = spark.createDataFrame([("a", None), ("b", 0.4), ("c", None)], "user_id string, churn_prob_7d double")
+    stored = spark.createDataFrame([("a", 0.5), ("b", 0.45)], "user_id string, churn_prob_7d_oof double")
+    rows = by_key(reconcile(live, stored, targets=["churn_7d"]))
+    assert {k: r["churn_7d_source"] for k, r in rows.items()} == {"a": "unknown", "b": "oof_stable", "c": "live_new"}
+    assert rows["a"]["churn_7d_final"] is None and rows["b"]["churn_7d_final"] == 0.45
+
+
+@pytest.mark.parametrize("targets", [["churn_30d"], ["churn_7d", "churn_30d"]])
+def test_outputs_carry_the_targets_of_the_model(spark, targets):
+    live = spark.createDataFrame([("a", 0.1, 0.2)], "user_id string, churn_prob_7d double, churn_prob_30d double")
+    stored = spark.createDataFrame([], "user_id string, churn_prob_7d_oof double, churn_prob_30d_oof double")
+    out = without_archetypes(reconcile(live, stored, targets=targets), targets)
+    assert out.count() == 1 and [c for c in out.columns if c.endswith("_final")] == [f"{t}_final" for t in targets]

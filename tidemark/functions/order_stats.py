@@ -8,10 +8,11 @@ rank, until that bin has a single value. Only bin counts reach the driver (bins
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 2048
@@ -25,6 +26,25 @@ class _Bracket:
     below: int  # rows of the group under ``low``
 
 
+def _bin(v: Column, b: _Bracket) -> Column:
+    """The bin of a value inside a bracket. An infinity has a bin of its own at either end.
+
+    Values and bounds are halved before they are subtracted, so the spread of finite doubles stays finite.
+    """
+    if not isinstance(b.low, float):
+        share = (v - F.lit(b.low)) / F.lit(float(b.high - b.low))
+        return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+    finite = sys.float_info.max
+    low, high = max(b.low, -finite), min(b.high, finite)
+    half = high / 2 - low / 2
+    if half:
+        share = (v / 2 - F.lit(low / 2)) / F.lit(half)
+        inner = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+    else:
+        inner = F.when(v <= low, 0).otherwise(BINS - 1)
+    return F.when(v == -math.inf, -1).when(v == math.inf, BINS).otherwise(inner)
+
+
 def ranked_values(
     df: DataFrame, value: str, ranks: dict[object, Sequence[int]], by: str | None = None,
     spans: dict | None = None,
@@ -58,10 +78,7 @@ def ranked_values(
             inside = v.between(b.low, b.high)
             if by is not None:
                 inside = inside & F.col(by).eqNullSafe(F.lit(b.group))
-            width = float(b.high - b.low)
-            step = F.least(
-                F.floor((v - F.lit(b.low)) / F.lit(width) * BINS), F.lit(BINS - 1)
-            ).cast("int")
+            step = _bin(v, b)
             which = F.when(inside, F.lit(i)).otherwise(which)
             slot = F.when(inside, step).otherwise(slot)
         rows = (
@@ -78,6 +95,8 @@ def ranked_values(
                 below = b.below
                 for c in cells:
                     if rank <= below + c["n"]:
+                        if (c["lo"], c["hi"]) == (b.low, b.high) and len(cells) == 1:
+                            raise ArithmeticError(f"no bin divides {b.low!r} to {b.high!r}")
                         place(_Bracket(b.group, c["lo"], c["hi"], below), rank)
                         break
                     below += c["n"]
@@ -119,6 +138,6 @@ def percentiles(
             pos = p * (n - 1)
             lo, hi = math.floor(pos), math.ceil(pos)
             a, b = float(values[(group, lo + 1)]), float(values[(group, hi + 1)])
-            row.append(a if lo == hi else (hi - pos) * a + (pos - lo) * b)
+            row.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
         out[group] = row
     return out

@@ -17,7 +17,10 @@ def suffix(target: str) -> str:
 def reconcile(
     live: DataFrame, oof: DataFrame, threshold: float = 0.10, targets: Sequence[str] = TARGETS
 ) -> DataFrame:
-    """Per target: live, oof, delta, source, final. A delta equal to the threshold is stable."""
+    """Per target: live, oof, delta, source, final. A delta equal to the threshold is stable.
+
+    A stored score whose live one is missing has the source ``unknown`` and no final score.
+    """
     present = [t for t in targets if f"churn_prob_{suffix(t)}" in live.columns]
     renamed = live.withColumnsRenamed({f"churn_prob_{suffix(t)}": f"{t}_live" for t in present})
     stored = oof.select(
@@ -30,8 +33,8 @@ def reconcile(
         stable = F.abs(delta) <= threshold
         joined = joined.withColumns({
             f"{t}_delta": delta,
-            f"{t}_source": F.when(kept.isNull(), "live_new").when(stable, "oof_stable")
-            .otherwise("live_drift"),
+            f"{t}_source": F.when(kept.isNull(), "live_new").when(fresh.isNull(), "unknown")
+            .when(stable, "oof_stable").otherwise("live_drift"),
             f"{t}_final": F.when(stable, kept).otherwise(fresh),
         })
     columns = ["user_id"]

@@ -23,7 +23,8 @@ def score_columns(targets: Sequence[str] = TARGETS) -> list[str]:
 
 
 def full_predictions(
-    scores: DataFrame, archetypes: DataFrame, taste: DataFrame, rules: RuleBook
+    scores: DataFrame, archetypes: DataFrame, taste: DataFrame, rules: RuleBook,
+    targets: Sequence[str] = TARGETS,
 ) -> DataFrame:
     """The technical layer: scores, archetype, every axis and the action (28 columns)."""
     joined = scores.join(archetypes.select("user_id", "archetype_n1"), "user_id", "left").join(
@@ -31,15 +32,15 @@ def full_predictions(
     )
     named = joined.withColumn("archetype_name", archetype_name(F.col("archetype_n1"), rules))
     return named.select(
-        "user_id", *score_columns(), "archetype_n1", "archetype_name", *TASTE_COLUMNS
+        "user_id", *score_columns(targets), "archetype_n1", "archetype_name", *TASTE_COLUMNS
     )
 
 
-def without_archetypes(scores: DataFrame) -> DataFrame:
+def without_archetypes(scores: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
     """The same columns when archetypes or taste could not be computed."""
     kinds = {"has_tier2": "int"}
     return scores.select(
-        "user_id", *score_columns(), F.lit(None).cast("int").alias("archetype_n1"),
+        "user_id", *score_columns(targets), F.lit(None).cast("int").alias("archetype_n1"),
         F.lit("N/A").alias("archetype_name"),
         *[F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in TASTE_COLUMNS],
     )

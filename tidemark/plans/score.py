@@ -61,11 +61,11 @@ def score_players(
             raise LookupError("no archetype model")
         codes = stage(archetypes.assign(master), "archetypes", staged)
         profile = stage(taste_profile(master, codes, rules), "taste", staged)
-        full = report.full_predictions(scores, codes, profile, rules)
+        full = report.full_predictions(scores, codes, profile, rules, models.targets)
         status, error = "ok", None
     except Exception as e:  # scores are worth delivering without a profile
-        full = report.without_archetypes(scores)
-        status, error = "skipped", repr(e)[:500]
+        full = report.without_archetypes(scores, models.targets)
+        status, error = "skipped", repr(e)
     return ScoringRun(ctx, scores, full, status, error, staged)
 
 
