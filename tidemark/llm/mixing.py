@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import blank, row_key, stage
 
-#: Bounds on labelled rows per domain, on domains, and on marking words per domain.
+#: Expected labelled rows per domain at most (a row enters by its hash), and bounds on domains and marking words per domain.
 LABELLED_ROWS, DOMAINS, MARKS = 1_000, 16, 150
 #: Marking words beyond this many say nothing more, which keeps memberships soft.
 EVIDENCE = 4.0
@@ -35,15 +35,21 @@ def _words(text: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, domain: str, domains: list[str]) -> tuple[list[list[str]], np.ndarray]:
-    """Marking words per domain, and the share of each domain's words per bin (domains, then all other words)."""
+    """Marking words per domain, and the share of each domain's words per bin (domains, then all other words).
+
+    A repeated id counts once per domain, with its smallest text.
+    """
     clean = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     ids = clean.select(F.col("doc_id").alias("labelled_id")).distinct()
-    # The narrow columns alone decide the sample; texts are read for its rows only.
-    narrow = docs.select(F.col(doc_id).alias("id"), F.col(domain).alias("domain")).where(F.col("domain").isin(domains))
-    first = narrow.join(ids, F.col("id") == F.col("labelled_id"), "left_semi").withColumn("h", F.xxhash64("id"))
-    rank = F.expr("row_number() OVER (PARTITION BY domain ORDER BY h, id)")
-    sample = first.withColumn("r", rank).where(F.col("r") <= LABELLED_ROWS).select(F.col("id").alias("sample_id"), "domain")
-    rows = docs.select(F.col(doc_id).alias("id"), blank(text).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("sample_id"))
+    # A row's hash decides whether it is looked at, by the rows of its domain: no domain is ordered or gathered.
+    chance = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    narrow = docs.select(F.col(doc_id).alias("id"), F.col(domain).alias("domain")).where(F.col("domain").isin(domains)).distinct()
+    per_domain = narrow.join(ids, F.col("id") == F.col("labelled_id"), "left_semi").groupBy("domain").agg(F.count("*").alias("n")).collect()
+    looked_at = F.lit(False)
+    for r in per_domain:
+        looked_at = looked_at | ((F.col("domain") == r["domain"]) & (chance < LABELLED_ROWS / r["n"]))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(domain).alias("domain"), blank(text).alias("text")).where(looked_at)
+    rows = rows.groupBy("id", "domain").agg(F.min("text").alias("text")).join(ids, F.col("id") == F.col("labelled_id"), "left_semi")
     counted = rows.select("domain", F.explode(_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("word", "domain").agg(F.count("*").alias("n"))
     counted = stage(counted, "mix-words")
     totals = {r["domain"]: r["n"] for r in counted.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
