@@ -4,8 +4,8 @@ The tree is fitted on a bounded sample; every row is put into a leaf by descendi
 the tree through a priority queue of nodes by their centroid's inner product and visits leaves in that
 order. How many leaves it visits is calibrated: for a sample of queries the true neighbours among all
 rows are found by one scan, and visits widen until the wanted share of them lies in visited leaves.
-Queries then meet the rows of their leaves in blocks of bounded size, a leaf with many rows being
-several blocks, and the nearest of all blocks are merged.
+Queries then meet the rows of their leaves in blocks of bounded size on both sides, a leaf with many
+rows or many queries being several blocks, and the nearest of all blocks are merged.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tidemark.llm.vectors import matrix, pack, sample_of
 
 #: Bound on rows that fit the tree; children of a node; rows that a sample leaf is split down to.
 SAMPLE_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 160
-#: Queries that calibrate, the recall they must reach, and rows in one block of a leaf.
+#: Queries that calibrate, the recall they must reach, and rows or queries in one block of a leaf.
 PROBES, RECALL, BLOCK_ROWS = 200, 0.97, 4_096
 
 
@@ -157,23 +157,44 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
     # One row per leaf, and a sample of SAMPLE_ROWS bounds the leaves.
     sizes = {r["leaf"]: -(-r["n"] // BLOCK_ROWS) for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
 
+    asking = index.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vec").dropDuplicates(["vec_id", "vec"])
+    asking = stage(asking, "ann-queries")
+
+    def count_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(shipped.value.leaf_of), np.int64)
+        for batch in batches:
+            for q in matrix(batch.column(1), dim):
+                counts[shipped.value.order(q, visits)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts)), pa.array(counts[counts > 0])], ["leaf", "n"])
+
+    asked = asking.mapInArrow(count_visits, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n"))
+    slices = {r["leaf"]: -(-r["n"] // BLOCK_ROWS) for r in asked.collect() if r["leaf"] in sizes}
+    if not slices:
+        return packed.where("false").select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
-                ids, leaves, blocks, vecs = [], [], [], []
+                ids, leaves, blocks, parts, vecs = [], [], [], [], []
                 for i, vec, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), matrix(batch.column(1), dim), strict=True):
                     for leaf in shipped.value.order(q, visits):
                         for block in range(sizes.get(leaf, 0)):
                             ids.append(i)
                             leaves.append(leaf)
                             blocks.append(block)
+                            parts.append((i // every) % slices[leaf])
                             vecs.append(vec)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(blocks, pa.int64()), pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], ["leaf", "block", "query_id", "vec"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int64()) for c in (leaves, blocks, parts, ids)), pa.array(vecs, pa.binary())],
+                    ["leaf", "block", "part", "query_id", "vec"],
+                )
 
-    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vec").dropDuplicates(["vec_id", "vec"]).mapInArrow(visit, "leaf bigint, block bigint, query_id bigint, vec binary")
-    blocks = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))
-    rows = index.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.element_at(blocks, F.col("leaf")).cast("long")))
+    queries = asking.mapInArrow(visit, "leaf bigint, block bigint, part bigint, query_id bigint, vec binary")
+    per_leaf = lambda counts: F.element_at(F.create_map(*(F.lit(x) for pair in counts.items() for x in pair)), F.col("leaf")).cast("long")
+    rows = index.withColumns({"block": F.pmod(F.xxhash64("vec_id", "vec"), per_leaf(sizes)), "parts": per_leaf(slices)})
+    # Leaves that no query visits stay out; the others come once per block of queries.
+    rows = rows.where("parts IS NOT NULL").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
 
     def meet(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if asking.empty or held.empty:
@@ -182,7 +203,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
         found = nearest(matrix(asking["vec"], dim), own, matrix(held["vec"], dim), held["vec_id"].to_numpy(), k)
         return pd.DataFrame({"query_id": own, "ids": [i.tobytes() for i, _ in found], "scores": [s.tobytes() for _, s in found]})
 
-    met = queries.groupBy("leaf", "block").cogroup(rows.groupBy("leaf", "block")).applyInPandas(meet, "query_id bigint, ids binary, scores binary")
+    met = queries.groupBy("leaf", "block", "part").cogroup(rows.groupBy("leaf", "block", "part")).applyInPandas(meet, "query_id bigint, ids binary, scores binary")
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(b"".join(group["ids"]), np.int64)
