@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import time
 import traceback
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.models import ArchetypeModel, ChurnModels
+from tidemark.operators.thresholds import load_thresholds
 from tidemark.plans.score import ScoringRun, score_players, write_run
 from tidemark.rules import RuleBook
 from tidemark.sources.canonical import Tables
@@ -24,9 +26,9 @@ class InvalidInput(ValueError):
 def run_job(
     spark: SparkSession, input_dir: str, output_dir: str, model_dir: str, churn_version: str,
     archetype_version: str | None = None, oof_path: str | None = None,
-    rules: RuleBook | None = None,
+    rules: RuleBook | None = None, thresholds_path: str | None = None,
 ) -> ScoringRun:
-    """Validate, load the chosen model versions, score, write.
+    """Validate, load the chosen model versions and fitted thresholds, score, write.
 
     A failed run leaves its traceback in ``<output>/pipeline_error`` and raises.
     """
@@ -43,6 +45,9 @@ def run_job(
         if archetype_version is not None:
             archetypes = ArchetypeModel.load(spark, model_dir, archetype_version)
         stored = read_table(spark, oof_path) if oof_path else None
+        if thresholds_path is not None:
+            fitted = load_thresholds(spark, thresholds_path)
+            rules = replace(rules or RuleBook(), thresholds=fitted)
         tables = Tables(spark, pick_tables(spark, files))
         run = score_players(spark, tables, models, archetypes, stored, rules)
         write_run(spark, run, models, output_dir, rules, started)

@@ -17,7 +17,7 @@ from tidemark.operators.encode import fit_encoder
 from tidemark.operators.evaluate import evaluate
 from tidemark.operators.logs import log_window
 from tidemark.operators.models import (
-    ForestParams, evaluate_splits, fit_archetypes, fit_churn, out_of_fold,
+    FOREST_30D, evaluate_splits, fit_archetypes, fit_churn, out_of_fold,
 )
 from tidemark.operators.reconcile import reconcile
 from tidemark.operators.sample import (
@@ -46,8 +46,6 @@ from tidemark.streaming.daily_counts import (
 
 SUBSET_USERS = 100
 TOP_PLAYERS = 20
-# A forest small enough to fit in every check; deployments use the full parameters.
-FOREST = ForestParams(trees=20, depth=6)
 
 
 class Inputs:
@@ -304,9 +302,7 @@ def eval_metrics(i: Inputs) -> DataFrame:
 def _fitted(i: Inputs, targets=TARGETS, calibrate=False):
     labels = i.labels().where(F.col("churn_7d").isNotNull())
     master = stage(plans.churn_master(i.tables, i.ctx, rules=i.rules), "master")
-    models, rows = fit_churn(
-        master, labels, "check", targets, params={t: FOREST for t in targets}, calibrate=calibrate
-    )
+    models, rows = fit_churn(master, labels, "check", targets, calibrate=calibrate)
     return master, models, rows
 
 
@@ -316,20 +312,24 @@ def churn_score(i: Inputs) -> DataFrame:
 
 
 def churn_fit_eval(i: Inputs) -> DataFrame:
-    _, models, rows = _fitted(i, ("churn_30d",))
+    _, models, rows = _fitted(i)
     return evaluate_splits(models, rows)
 
 
 def feature_importance(i: Inputs) -> DataFrame:
-    _, models, _ = _fitted(i, ("churn_30d",))
-    return models.importances(i.spark, "churn_30d")
+    _, models, _ = _fitted(i)
+    out = None
+    for t in TARGETS:
+        one = models.importances(i.spark, t).withColumn("target", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def oof_predictions(i: Inputs) -> DataFrame:
     labels = i.labels().where(F.col("churn_30d").isNotNull())
     master = plans.churn_master(i.tables, i.ctx, rules=i.rules)
     rows = stage(master.join(labels, "user_id"), "oof-rows")
-    return out_of_fold(rows, "churn_30d", params=ForestParams(trees=10, depth=5))
+    return out_of_fold(rows, "churn_30d", params=FOREST_30D)
 
 
 def archetype_assign(i: Inputs) -> DataFrame:
