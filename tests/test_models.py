@@ -145,3 +145,14 @@ def test_nearest_centroid_brute_force(spark):
         d = ((x32[i] - c) ** 2).sum(axis=1)
         assert got[i]["archetype_n1"] == int(np.argmin(d)) and got[i]["distance"] == pytest.approx(d.min())
     assert not any(v["archetype_n1"] == 3 for v in got.values())
+
+
+def test_split_of_many_labels_and_null(spark):
+    rows = [(f"{i:024x}", None if i % 151 == 150 else i % 151) for i in range(151 * 20)]
+    got = stratified_split(spark.createDataFrame(rows, "user_id string, y int"), "y").groupBy("y", "split").count().collect()
+    sizes = {(r["y"], r["split"]): r["count"] for r in got}
+    test, val = part_sizes(20)
+    for label in (*range(150), None):
+        assert sizes[(label, "test")] == test
+        assert sizes[(label, "val")] == val
+        assert sizes[(label, "train")] == 20 - test - val
