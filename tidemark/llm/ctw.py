@@ -7,9 +7,11 @@ has the Krichevsky-Trofimov estimate of its decisions, and a context weighs its
 the product of its longer contexts by how well either codes the training text. The mixture over all
 depths, the path's posterior weights, is what predicts.
 
-All training windows are counted by one shuffle. Contexts with less than ``share`` of the training bytes
-do not split further; what lies below such a cut is one more branch of its parent. So a depth has at
-most 1/share contexts however large the corpus is, and the finished tree may be broadcast.
+All windows are counted by one shuffle. Every context that training text has at least ``LEAST`` times
+stands in the tree; what lies below a rarer one is one more branch of its parent. Contexts of three bytes
+and more are weighted where the windows that end in the same three bytes lie; the sums of their weights
+meet the contexts of up to two bytes, of which there are at most 65,793, on the driver. With those every window of any text gets
+its probability, which texts meet by window: the most frequent ones are broadcast, the others joined.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blank, row_key, stage
+from tidemark.llm.common import blank, pack_windows, row_key, stage
 from tidemark.llm.grams import WindowCounter, batches_of, count_words, words_of
 
 END = "\n"
-#: Context bytes, and the least share of the training bytes for a context to stand in the tree.
-DEPTH, SHARE = 6, 1 / 65_536
+#: Context bytes (3 to 6), and how often training text has a context that stands in the tree.
+DEPTH, LEAST = 6, 2
+#: Context bytes that the driver weighs, windows that a task works on at once, and windows that are broadcast.
+TOP, CHUNK, HOT_WINDOWS = 2, 60_000, 1_000_000
 #: Words with at least this share of all training words are broadcast with their counts.
 HOT_WORDS = 1 / 262_144
 _LOG_PI, _LOG_2 = math.log(math.pi), math.log(2)
@@ -69,12 +73,12 @@ def _slices(n: int, size: int = 1_024) -> list[slice]:
 
 
 class ContextTree:
-    """Log10 probabilities of the next byte for every context that stands in the tree."""
+    """Log10 probabilities of the next byte for every context of a small tree, held in memory as a whole."""
 
     def __init__(self, depth: int, keys: list[np.ndarray], counts: list[np.ndarray]):
         """``keys[d]`` are sorted contexts of d bytes (latest lowest), closed under shortening.
 
-        Levels are worked through in slices and kept in single precision, as the tree is built on the driver.
+        Levels are worked through in slices and kept in single precision.
         """
         self.depth = depth
         parents = [np.searchsorted(keys[d - 1], keys[d] & np.uint64((1 << 8 * (d - 1)) - 1)) if d else None for d in range(len(keys))]
@@ -149,53 +153,212 @@ def _byte_logs(ones: np.ndarray) -> np.ndarray:
     return logs[:, 256:]
 
 
-def fit_tree(docs: DataFrame, text: str, depth: int = DEPTH, share: float = SHARE) -> ContextTree:
-    """The weighted tree of all rows of ``docs``. An empty table gives uniform bytes."""
+def _path(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight decision nodes of each byte, and what it decides there."""
+    places = np.arange(8)
+    byte = byte.astype(np.int64)[:, None]
+    return (1 << places) | (byte >> (8 - places)), (byte >> (7 - places)) & 1
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of each of the values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
+
+
+def _block(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    block = log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - _LOG_PI
+    return np.where(zero + one > 0, block, 0.0)
+
+
+def _latest_first(context: np.ndarray, depth: int) -> np.ndarray:
+    """Contexts with the latest byte highest, so that shorter contexts are prefixes."""
+    out = np.zeros(len(context), np.int64)
+    for i in range(depth):
+        out |= (context >> 8 * i & 255) << 8 * (depth - 1 - i)
+    return out
+
+
+class Levels:
+    """Contexts of ``first`` to ``last`` bytes, by (context, node) of the nodes that were met."""
+
+    def __init__(self, first: int, last: int, context: np.ndarray, byte: np.ndarray, n: np.ndarray, under=None, least: int = LEAST):
+        """``context`` has ``last`` bytes, latest highest. ``under`` is what longer contexts hand up, None without any.
+
+        All windows of a context of ``first`` bytes must be there.
+        """
+        self.first, self.last, self.levels = first, last, []
+        learnt = n > 0
+        key, n = _sums(context[learnt] << 8 | byte[learnt], n[learnt].astype(np.float64))
+        for d in range(last, first - 1, -1):
+            if d < last:
+                key, n = _sums(key >> 16 << 8 | key & 255, n)
+            known, total = _sums(key >> 8, n)
+            keep = (total >= least)[np.searchsorted(known, key >> 8)] if d else np.ones(len(key), bool)
+            nodes, bits = _path(key[keep] & 255)
+            weight = n[keep][:, None]
+            keys, zero, one = _sums((key[keep][:, None] >> 8 << 8 | nodes).ravel(), (weight * (1 - bits)).ravel(), (weight * bits).ravel())
+            after, own = _block(zero, one), (one + 0.5) / (zero + one + 1)
+            stop, rest = np.ones(len(keys)), own
+            if under is not None:
+                split, more_zero, more_one = np.zeros(len(keys)), zero.copy(), one.copy()
+                at = np.searchsorted(keys, under[0])
+                split[at] = under[1]
+                more_zero[at] -= under[2]
+                more_one[at] -= under[3]
+                both = np.logaddexp(after, split + _block(more_zero, more_one))
+                stop, after = np.exp(after - both), both - _LOG_2
+                # Below a cut the one more branch predicts; nodes it never met are left to this context.
+                rest = np.where(more_zero + more_one > 0, (more_one + 0.5) / (more_zero + more_one + 1), own)
+            self.levels.insert(0, (keys, own, stop, rest))
+            under = _sums(keys >> 16 << 8 | keys & 255, after, zero, one)
+        self.up = under
+
+    def predict(self, context: np.ndarray, byte: np.ndarray, state=None):
+        """Mixture so far, weight left, and probability of a one, at the eight nodes of each byte."""
+        nodes, _ = _path(byte)
+        mixed, left, final = state or (np.zeros(nodes.shape), np.ones(nodes.shape), np.full(nodes.shape, 0.5))
+        for d, (keys, own, stop, rest) in enumerate(self.levels, self.first):
+            if not len(keys):
+                break
+            want = (context >> 8 * (self.last - d) << 8)[:, None] | nodes
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = keys[at] == want
+            mixed = np.where(hit, mixed + left * stop[at] * own[at], mixed)
+            left = np.where(hit, left * (1 - stop[at]), left)
+            final = np.where(hit, mixed + left * rest[at], final)
+        return mixed, left, final
+
+
+def count_windows(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, seen, learnt) from (text, held_out): occurrences in all rows and in those that are not held out."""
     pad = END.encode() * depth
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = WindowCounter(depth + 1)
+        both = WindowCounter(depth + 1), WindowCounter(depth + 1)
+
+        def drained(which: int) -> Iterator[pa.RecordBatch]:
+            keys, n = both[which].drain()
+            yield from batches_of(["gram", "seen", "learnt"], keys.view(np.int64), n, np.zeros_like(n) if which else n)
+
         for batch in batches:
-            for t in batch.column(0):
-                counter.add(b" ".join(words_of(t.as_py())) + END.encode(), pad)
-            if counter.full():
-                keys, n = counter.drain()
-                yield from batches_of(["gram", "n"], keys.view(np.int64), n)
-        keys, n = counter.drain()
-        yield from batches_of(["gram", "n"], keys.view(np.int64), n)
-
-    grams = docs.select(text).mapInArrow(count, "gram bigint, n bigint")
-    grams = stage(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-windows")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = F.explode(F.array(*[
-        F.struct(F.lit(d).alias("d"), F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context"))
-        for d in range(depth + 1)
-    ])).alias("at")
-    spread = grams.select(levels, F.col("gram").bitwiseAND(F.lit(255)).alias("byte"), "n")
-    by_byte = spread.groupBy("at.d", "at.context", "byte").agg(F.sum("n").alias("n"))
-    kept = (
-        by_byte.groupBy("d", "context").agg(F.sum("n").alias("all"), F.collect_list(F.struct("byte", "n")).alias("bytes"))
-        .where((F.col("all") >= F.lit(max(2.0, total * share))) | (F.col("d") == 0))
-        .select("d", "context", F.explode("bytes").alias("b")).select("d", "context", "b.byte", "b.n")
-    )
-    rows = kept.toPandas()  # at most 256 / share rows for each depth
-    keys, counts = [], []
-    for d in range(depth + 1):
-        own = rows[rows["d"] == d]
-        key, at = np.unique(own["context"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        if d and not len(key):
+            for t, out in zip(batch.column(0), batch.column(1), strict=True):
+                both[out.as_py()].add(b" ".join(words_of(t.as_py())) + END.encode(), pad)
+            for which in (0, 1):
+                if both[which].full():
+                    yield from drained(which)
+        yield from drained(0)
+        yield from drained(1)
+
+    grams = rows.select("text", "held_out").mapInArrow(count, "gram bigint, seen bigint, learnt bigint")
+    return grams.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("learnt").alias("learnt"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of runs of at least CHUNK rows that end where the first column changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append([c.to_numpy() for c in batch.columns])
+        if sum(len(h[0]) for h in held) < CHUNK:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+        if cut:
+            yield [c[:cut] for c in whole]
+        held = [[c[cut:] for c in whole]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def probabilities(windows: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """(gram, seen, log10) for every window of ``windows``: the log10 probability of its last byte after the others."""
+    near = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("near")
+    together = lambda rows: rows.repartition("near").sortWithinPartitions("near")
+
+    def lower(gram: np.ndarray, learnt: np.ndarray) -> tuple[Levels, np.ndarray, np.ndarray]:
+        context, byte = _latest_first(gram >> 8, depth), gram & 255
+        return Levels(TOP + 1, depth, context, byte, learnt, least=least), context, byte
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, gram, learnt in _chunks(batches):
+            yield from batches_of(["key", "split", "zero", "one"], *lower(gram, learnt)[0].up)
+
+    handed = together(windows.where("learnt > 0").select(near, "gram", "learnt")).mapInArrow(weigh, "key bigint, split double, zero double, one double")
+    # At most 255 nodes, and 256 bytes, of each context of TOP bytes.
+    handed = handed.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("split", "zero", "one"))).toPandas().sort_values("key")
+    short = windows.where("learnt > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("gram")).agg(F.sum("learnt").alias("n")).toPandas()
+    gram = short["gram"].to_numpy(np.int64)
+    under = handed["key"].to_numpy(np.int64), *(handed[c].to_numpy(np.float64) for c in ("split", "zero", "one"))
+    upper = Levels(0, TOP, _latest_first(gram >> 8, TOP), gram & 255, short["n"].to_numpy(np.float64), under, least)
+    shipped = windows.sparkSession.sparkContext.broadcast(upper)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, gram, seen, learnt in _chunks(batches):
+            tree, context, byte = lower(gram, learnt)
+            for at in range(0, len(gram), CHUNK):
+                c, b = context[at : at + CHUNK], byte[at : at + CHUNK]
+                ones = tree.predict(c, b, shipped.value.predict(c >> 8 * (depth - TOP), b))[2]
+                logs = np.log10(np.where(_path(b)[1] == 1, ones, 1 - ones)).sum(axis=1)
+                yield from batches_of(["gram", "seen", "log10"], gram[at : at + CHUNK], seen[at : at + CHUNK], logs)
+
+    return together(windows.select(near, "gram", "seen", "learnt")).mapInArrow(predict, "gram bigint, seen bigint, log10 double")
+
+
+def window_scores(rows: DataFrame, table: DataFrame, depth: int = DEPTH, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+    """(row_key, score): rows whose sum is the log10 probability of the texts of that key. ``table`` holds every window."""
+    size = F.floor(F.log2("seen") * 8).cast("int").alias("size")
+    edge, room = 512, hot_windows
+    for r in table.groupBy(size).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():
+        room -= r["n"]
+        if room < 0:
             break
-        table = np.zeros((max(len(key), 1), 256))
-        if len(key):
-            table[at, own["byte"].to_numpy(np.int64)] = own["n"].to_numpy(np.float64)
-        keys.append(key if len(key) else np.zeros(1, np.uint64))
-        counts.append(table)
-    return ContextTree(depth, keys, counts)
+        edge = r["size"]
+    is_hot = F.floor(F.log2("seen") * 8) >= F.lit(edge)
+    hot = table.where(is_hot).select("gram", "log10").toPandas()  # at most ``hot_windows`` rows
+    order = np.argsort(hot["gram"].to_numpy(np.int64))
+    shipped = rows.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(np.int64)[order], hot["log10"].to_numpy(np.float64)[order]))
+    end = END.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logs = shipped.value
+        names = ["row_key", "gram", "n", "score"]
+        for whole in batches:
+            for start in range(0, len(whole), 512):
+                batch = whole.slice(start, 512)
+                keys = batch.column(0).to_numpy()
+                texts = [b" ".join(words_of(t.as_py())) + end for t in batch.column(1)]
+                sums = np.zeros(len(keys))
+                for i, piece in _pieces(texts, end * depth):
+                    grams, back, n = np.unique(pack_windows(np.frombuffer(piece, np.uint8), depth + 1).view(np.int64), return_inverse=True, return_counts=True)
+                    at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+                    hit = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+                    own = np.where(hit, logs[at], 0.0) if len(known) else np.zeros(len(grams))
+                    sums[i] += float((own * n).sum())
+                    if not hit.all():
+                        yield from batches_of(names, np.full((~hit).sum(), keys[i]), grams[~hit], n[~hit].astype(np.int32), np.zeros((~hit).sum()))
+                # A gram below zero is none; its key spreads these rows over the join.
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys | np.int64(-1 << 63)), pa.array(np.zeros(len(keys), np.int32)), pa.array(sums)], names)
+
+    parts = rows.select("row_key", "text").mapInArrow(run, "row_key bigint, gram bigint, n int, score double")
+    joined = parts.join(table.where(~is_hot).select("gram", "log10"), "gram", "left")
+    return joined.select("row_key", (F.col("score") + F.col("n") * F.coalesce("log10", F.lit(0.0))).alias("score"))
+
+
+def _pieces(texts: list[bytes], pad: bytes, size: int = 1_000_000) -> Iterator[tuple[int, bytes]]:
+    """The texts after ``pad``, in parts that overlap by its length."""
+    for i, text in enumerate(texts):
+        whole = pad + text
+        for at in range(0, len(text), size):
+            yield i, whole[at : at + size + len(pad)]
 
 
 def score(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2,
-    depth: int = DEPTH, share: float = SHARE,
+    depth: int = DEPTH, least: int = LEAST,
 ) -> DataFrame:
     """One row per row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte).
 
@@ -209,53 +372,45 @@ def score(
     size = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, vocabulary = size["n"] or 0, size["v"]
     log_all = math.log10(n_all + vocabulary + 1)
-    tree = fit_tree(learn, "text", depth, share)
+    table = stage(probabilities(stage(count_windows(rows, depth), "ctw-windows"), depth, least), "ctw-probabilities")
     # At most 1 / HOT_WORDS words reach the driver and the workers.
     hot_rows = words.where(F.col("n") >= F.lit(max(2.0, n_all * HOT_WORDS))).toPandas()
     hot = {w.encode(): math.log10(n + 1) - log_all for w, n in zip(hot_rows["word"], hot_rows["n"], strict=True)}
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((tree, hot))
+    shipped = spark.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, hot = shipped.value
         for whole in batches:
             for at in range(0, len(whole), 512):
-                yield from _score_batch(whole.slice(at, 512), tree, hot)
+                yield from _score_batch(whole.slice(at, 512), shipped.value)
 
-    own = "struct<held_out:boolean, n_tokens:bigint, n_known:bigint, base:double, score:double, n_bytes:bigint>"
+    own = "struct<held_out:boolean, n_tokens:bigint, n_known:bigint, base:double, n_bytes:bigint>"
     kind = rows.schema["doc_id"].dataType.simpleString()
     parts = rows.mapInArrow(run, f"row_key bigint, doc_id {kind}, word string, n int, own {own}")
     cold = words.where(F.col("n") < F.lit(max(2.0, n_all * HOT_WORDS))).select("word", F.col("n").alias("c"))
-    joined = parts.join(cold, "word", "left")
+    joined = parts.join(cold, "word", "left").withColumn("score", F.lit(0.0))
+    # Rows of window scores have no word and count nothing else.
+    scored = window_scores(rows, table, depth).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("row_key", "score") else F.col(f.name) for f in joined.schema))
+    joined = joined.unionByName(scored)
     marker = F.col("own").isNotNull()
     unknown = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1) - F.lit(log_all)
     summed = joined.groupBy("row_key").agg(
         F.max("doc_id").alias("doc_id"), F.count(F.when(marker, 1)).alias("copies"), F.max("own").alias("own"),
         F.sum(F.when(marker, 0).otherwise(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("known"),
-        F.sum(F.when(marker, 0.0).otherwise(F.col("n") * unknown)).alias("base"),
+        F.sum(F.when(marker, 0.0).otherwise(F.col("n") * unknown)).alias("base"), F.sum("score").alias("score"),
     )
     return summed.select(
         "doc_id", "own.held_out", "own.n_tokens", (F.col("own.n_known") + (F.col("known") / F.col("copies")).cast("long")).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"), (F.col("own.base") + F.col("base") / F.col("copies")).alias("base_score"),
-        "own.score", "own.n_bytes", (-F.col("own.score") / F.lit(math.log10(2)) / F.col("own.n_bytes")).alias("bits_per_byte"),
+        (F.col("score") / F.col("copies")).alias("score"), "own.n_bytes", (-F.col("score") / F.col("copies") / F.lit(math.log10(2)) / F.col("own.n_bytes")).alias("bits_per_byte"),
     )
 
 
-def _score_batch(batch: pa.RecordBatch, tree: ContextTree, hot: dict[bytes, float]) -> Iterator[pa.RecordBatch]:
+def _score_batch(batch: pa.RecordBatch, hot: dict[bytes, float]) -> Iterator[pa.RecordBatch]:
     """One marker row per text with what needs no join, and a row per text and word that is not hot."""
-    depth, end = tree.depth, END.encode()
+    end = END.encode()
     keys = batch.column(3).to_pylist()
     texts = [words_of(t.as_py()) for t in batch.column(1)]
-    joined = [b" ".join(t) + end for t in texts]
-    bounds, data = [], []
-    at = 0
-    for j in joined:
-        data += [end * depth, j]
-        bounds += [at, at + len(j)]
-        at += len(j) + depth
-    buffer = np.frombuffer(b"".join(data), np.uint8)
-    logs = np.concatenate([tree.logs(buffer[a : a + 1_000_000 + depth]) for a in range(0, max(1, len(buffer) - depth), 1_000_000)])
-    scores = np.add.reduceat(np.append(logs, 0.0), bounds)[::2].tolist()
     markers, cold_keys, cold_words, cold_counts = [], [], [], []
     for i, (tokens, out) in enumerate(zip(texts, batch.column(2).to_pylist(), strict=True)):
         near = [x for x in map(hot.get, tokens) if x is not None]
@@ -274,8 +429,8 @@ def _score_batch(batch: pa.RecordBatch, tree: ContextTree, hot: dict[bytes, floa
             cold_keys.append(keys[i])
             cold_words.append(END)
             cold_counts.append(1)
-        markers.append({"held_out": out, "n_tokens": len(tokens) + 1, "n_known": known, "base": base, "score": scores[i], "n_bytes": len(joined[i])})
-    struct = pa.struct([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
+        markers.append({"held_out": out, "n_tokens": len(tokens) + 1, "n_known": known, "base": base, "n_bytes": len(b" ".join(tokens)) + len(end)})
+    struct = pa.struct([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("n_bytes", pa.int64())])
     # A marker's word holds a blank, which no word does; the key in it spreads markers over the join.
     yield pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.int64()), batch.column(0), pa.array([f"own {k}" for k in keys]), pa.array([1] * len(keys), pa.int32()), pa.array(markers, struct)],
