@@ -24,6 +24,7 @@ PUNCTUATION = ".,;:!?…。，！？"
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math select".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -58,15 +59,8 @@ class Page:
         self.parent, self.tag, self.path, self.apart = [-1], [""], [""], [False]
         self.blocks: list[tuple[int, str]] = []
         self.stack, self.text, self.holder = [0], [], 0
-        at, skip = 0, None
-        for m in _TAG.finditer(source):
-            if skip is not None:
-                if not (m[1] and m[2] and m[2].lower() == skip):
-                    continue
-                skip, at = None, m.end()
-                continue
-            if m.start() < at:
-                continue
+        at = 0
+        while m := _TAG.search(source, at):
             self._put(source[at : m.start()])
             at = m.end()
             if not m[2]:
@@ -79,11 +73,12 @@ class Page:
                     self._put(" ")
             elif tag in RAW:
                 if not m[3].rstrip().endswith("/"):
-                    skip = tag
+                    # What is inside is no markup, so only the element's own end tag counts.
+                    end = _END[tag].search(source, at)
+                    at = end.end() if end else len(source)
             else:
                 self._open(tag, m[3])
-        if skip is None:
-            self._put(source[at:])
+        self._put(source[at:])
         self._flush()
 
     def _put(self, raw: str) -> None:
