@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import collocations, crf, ctw, kdtree, kmeans_tree, kneser_ney, mixing, pca_tiles, pieces, simhash, sql, tag_paths
+from tidemark.llm import collocations, crf, ctw, kdtree, kmeans_tree, kneser_ney, merkle, mixing, pca_tiles, pieces, simhash, sql, tag_paths
 from tidemark.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -80,6 +80,16 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(docs, labels).drop("row_key")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and whether its proof still holds for the tampered rows."""
+    out = merkle.documents(read_table(spark, sf_dir, "documents"), every=7)
+    out = out.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.fold(F.col("tampered"), F.col("proof")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of every language."""
     return collocations.mine(read_table(spark, sf_dir, "documents"), least=30, top=2_000, covered=80)
@@ -96,8 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_pca_tiles": op9_pca_tiles,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_merkle": op11_merkle,
     "op13_collocations": op13_collocations,
 }
 
 #: DuckDB statements; the other queries are tested against brute force.
-ORACLE: dict[str, str] = {"op13_collocations": sql.COLLOCATIONS}
+ORACLE: dict[str, str] = {"op11_merkle": sql.MERKLE, "op13_collocations": sql.COLLOCATIONS}

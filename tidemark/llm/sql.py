@@ -39,3 +39,70 @@ WITH pieces AS (
 )
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+#: CRC-32 of a decimal number: 256 table entries from the polynomial, then one step for each digit.
+_CRC = """
+crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS t
+  FROM range(256) AS bytes(b)
+)"""
+
+MERKLE = f"""
+WITH RECURSIVE {_CRC.strip()}, docs AS (
+  SELECT *, row_number() OVER () AS row_no FROM documents
+), hit AS (
+  SELECT d.*, coalesce(xor(list_reduce(
+      list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 7 = 0, false) AS hit
+  FROM docs d, crc_table
+), parts AS (
+  SELECT doc_id, lang, row_no, hit, n_chars,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS size,
+    coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS size_changed,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM hit
+), leaves AS (
+  SELECT doc_id, lang, row_no, sha256(head || size || tail) AS leaf,
+    sha256(head || CASE WHEN hit THEN size_changed ELSE size END || tail) AS changed
+  FROM parts
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves
+), up AS (
+  SELECT lang, 0 AS level, pos, leaf AS node, n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM up
+  WHERE n > 1 GROUP BY lang, level, pos // 2, n
+), subroots AS (
+  SELECT lang, node AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS level, pos, subroot AS node, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2, n
+), steps AS (
+  SELECT p.row_no, u.level, s.node AS beside, (p.pos >> u.level) % 2 = 1 AS on_left
+  FROM placed p JOIN up u ON u.lang IS NOT DISTINCT FROM p.lang AND u.pos = p.pos >> u.level AND u.n > 1
+  LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = u.level AND s.pos = xor(u.pos, 1)
+  UNION ALL
+  SELECT p.row_no, r.height + u.level, s.node, (r.pos >> u.level) % 2 = 1
+  FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang
+  JOIN top u ON u.pos = r.pos >> u.level AND u.n > 1
+  LEFT JOIN top s ON s.level = u.level AND s.pos = xor(u.pos, 1)
+), folded AS (
+  SELECT row_no, 0 AS level, changed AS node FROM placed
+  UNION ALL
+  SELECT f.row_no, f.level + 1, sha256(CASE WHEN s.beside IS NULL THEN f.node WHEN s.on_left THEN s.beside || f.node ELSE f.node || s.beside END)
+  FROM folded f JOIN steps s ON s.row_no = f.row_no AND s.level = f.level
+), last AS (
+  SELECT row_no, arg_max(node, level) AS folded_root FROM folded GROUP BY row_no
+), proofs AS (
+  SELECT row_no, sha256(coalesce(string_agg(beside, '' ORDER BY level), '')) AS proof_sha256 FROM steps GROUP BY row_no
+)
+SELECT p.doc_id, p.leaf, r.subroot, t.node AS root, coalesce(h.proof_sha256, sha256('')) AS proof_sha256, l.folded_root,
+  l.folded_root = t.node AS verified
+FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT node FROM top WHERE n = 1) t ON true
+JOIN last l USING (row_no) LEFT JOIN proofs h USING (row_no)
+"""
