@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import collocations, crf, ctw, kdtree, kmeans_tree, kneser_ney, merkle, mixing, pca_tiles, pieces, simhash, sql, tag_paths
+from tidemark.llm import chat, collocations, crf, ctw, kdtree, kmeans_tree, kneser_ney, merkle, mixing, pca_tiles, pieces, simhash, sql, tag_paths
 from tidemark.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -90,6 +90,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the windows of every conversation say when read back, one of control strings included."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.windows(rows.union(planted)))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of every language."""
     return collocations.mine(read_table(spark, sf_dir, "documents"), least=30, top=2_000, covered=80)
@@ -107,8 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pca_tiles": op9_pca_tiles,
     "op10_kneser_ney": op10_kneser_ney,
     "op11_merkle": op11_merkle,
+    "op12_chat": op12_chat,
     "op13_collocations": op13_collocations,
 }
 
 #: DuckDB statements; the other queries are tested against brute force.
-ORACLE: dict[str, str] = {"op11_merkle": sql.MERKLE, "op13_collocations": sql.COLLOCATIONS}
+ORACLE: dict[str, str] = {"op11_merkle": sql.MERKLE, "op12_chat": sql.CHAT, "op13_collocations": sql.COLLOCATIONS}

@@ -106,3 +106,60 @@ SELECT p.doc_id, p.leaf, r.subroot, t.node AS root, coalesce(h.proof_sha256, sha
 FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT node FROM top WHERE n = 1) t ON true
 JOIN last l USING (row_no) LEFT JOIN proofs h USING (row_no)
 """
+
+#: Blocks of 1,024 turn numbers, cells of the room that 2,048 tokens leave, two turns of history within 512.
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) + 4 AS tokens,
+    greatest(coalesce(floor(turn / 1024), 0), 0) AS block
+  FROM turns
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, text) AS pos,
+    coalesce(sum(tokens) OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    role = 'system' AND row_number() OVER (PARTITION BY conv_id, role ORDER BY block, turn NULLS FIRST, text) = 1 AS pinned
+  FROM sized
+), systems AS (
+  SELECT conv_id, block AS from_block, pos AS from_at, tokens AS held, role, text
+  FROM numbered WHERE pinned
+), roomy AS (
+  SELECT t.*, 1536 - CASE WHEN s.held <= 1024 AND s.from_block <= t.block THEN s.held ELSE 0 END AS room, s.from_block, s.from_at, s.held,
+    s.role AS system_role, s.text AS system_text
+  FROM numbered t LEFT JOIN systems s ON s.conv_id IS NOT DISTINCT FROM t.conv_id
+), placed AS (
+  SELECT *, 2 * (before // room) + CASE WHEN before // room = (before + tokens - 1) // room THEN 0 ELSE 1 END AS w,
+    length(replace(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), chr(10), '\' || chr(10)))
+    + length(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>')) + 13 AS chars
+  FROM roomy
+), windows AS (
+  SELECT conv_id, block, w, min(pos) AS head, max(pos) AS tail, max(from_block) AS from_block, max(from_at) AS from_at, max(held) AS held
+  FROM placed GROUP BY ALL
+), linked AS (
+  SELECT *, lag(head) OVER (PARTITION BY conv_id, block ORDER BY w) AS past_head, lag(tail) OVER (PARTITION BY conv_id, block ORDER BY w) AS past_tail
+  FROM windows
+), past AS (
+  SELECT l.conv_id, l.block, l.w, p.pinned, p.chars, sum(p.tokens) OVER (PARTITION BY l.conv_id, l.block, l.w ORDER BY p.block DESC, p.pos DESC) AS upto,
+    row_number() OVER (PARTITION BY l.conv_id, l.block, l.w ORDER BY p.block DESC, p.pos DESC) AS back
+  FROM linked l JOIN placed p ON p.conv_id IS NOT DISTINCT FROM l.conv_id
+   AND (p.block = l.block AND p.pos BETWEEN l.past_head AND l.past_tail OR l.past_tail IS NULL AND p.block = l.block - 1 AND p.turn >= l.block * 1024 - 2)
+), repeated AS (
+  SELECT conv_id, sum(chars) AS chars FROM (
+    SELECT conv_id, chars FROM past WHERE back <= 2 AND upto <= 512 AND NOT pinned
+    UNION ALL
+    SELECT l.conv_id, p.chars FROM linked l JOIN placed p ON p.conv_id IS NOT DISTINCT FROM l.conv_id AND p.pinned AND p.tokens <= 1024
+     AND (p.block < l.block OR p.block = l.block AND p.pos < l.head)
+  ) GROUP BY conv_id
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY block, pos) AS turns,
+    coalesce(string_agg(text, '' ORDER BY block, pos) FILTER (role = 'assistant'), '') AS loss
+  FROM placed GROUP BY conv_id
+)
+SELECT w.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(w.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars
+FROM whole w LEFT JOIN repeated r ON r.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
