@@ -70,7 +70,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.pop(BREAK, None)
             words = pa.array(found.keys(), pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(found)), words, pa.array(found.values(), pa.int64())], ["lang", "word", "uses"]
+                [pa.array([lang] * len(found), pa.string()), words, pa.array(found.values(), pa.int64())], ["lang", "word", "uses"]
             )
         counts.clear()
 
