@@ -506,4 +506,6 @@ ORACLE = {
   count(*) FILTER (quantity < 0) AS n_out FROM currency GROUP BY ALL"""),
     "stream_currency_features": stmt(["f_currency"], """SELECT * FROM f_currency
   WHERE currency_pct_inflow IS NOT NULL""", FEATURES["f_currency"][2]),
+    "stream_fight_features": stmt(["f_fights"], """SELECT * FROM f_fights
+  WHERE fights_pct_pvp IS NOT NULL""", FEATURES["f_fights"][2]),
 }

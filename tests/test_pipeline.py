@@ -18,7 +18,7 @@ from tidemark.sources.catalog import FILE_NAMES, SCHEMAS
 from tidemark.sources.retail import Retail
 from tidemark.sources.staging import read_document, stage
 from tidemark.streaming.daily_counts import (
-    current_counters, daily_counters, features_from_counters, read_log_stream, start_counters,
+    currency_table, daily_counters, features_from_counters, read_log_stream, start_counters,
 )
 
 FOLDER = "/root/testdata/sf0.001"
@@ -123,24 +123,25 @@ def test_stream_equals_batch(spark, ctx, tmp_path):
 
     rows = [(oid(i % 5), f"c{i % 3}", None if i % 7 == 0 else f"k{i % 2}", float(i % 4 - 1),
              datetime(2026, 3, 10) + timedelta(hours=5 * i)) for i in range(100)]
-    src, table, check = (str(tmp_path / n) for n in ("src", "table", "check"))
+    src, folder, check = (str(tmp_path / n) for n in ("src", "table", "check"))
+    table = currency_table(spark, folder, compact_every=3)
     for part in range(4):
         spark.createDataFrame(rows[part::5], LOG).coalesce(1).write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
 
     def run():
         start_counters(read_log_stream(spark, src, schema, files_per_batch=1), table, check).awaitTermination()
-        return {tuple(r) for r in current_counters(spark, table).collect()}
+        return {tuple(r) for r in table.read().collect()}
 
     def batch():
         log = prepare("currency_transactions", spark.read.parquet(src))
-        return {tuple(r) for r in daily_counters(log).collect()}
+        return {tuple(r) for r in daily_counters(log).select(*table.read().columns).collect()}
 
     assert run() == batch()
     spark.createDataFrame(rows[4::5], LOG).write.mode("append").parquet(src)
     assert run() == batch()  # resumes from the checkpoint, adds only the new files
 
-    got = by_key(features_from_counters(current_counters(spark, table), ctx))
+    got = by_key(features_from_counters(table, ctx))
     from tidemark.operators.logs import currency_counts, currency_features
 
     want = by_key(currency_features(currency_counts(prepare("currency_transactions", spark.read.parquet(src)), ctx), ctx))

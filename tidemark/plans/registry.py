@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from tidemark.context import RunContext
 from tidemark.functions import diversity, ids
 from tidemark.operators import cleanup, clusters, report
 from tidemark.operators.block import CHURN
+from tidemark.operators.characters import character_owners
 from tidemark.operators.encode import fit_encoder
 from tidemark.operators.evaluate import evaluate
 from tidemark.operators.logs import log_window
@@ -38,14 +39,18 @@ from tidemark.sources.canonical import Tables
 from tidemark.sources.identify import identify, table_headers, validation_report
 from tidemark.sources.readers import oof_scores
 from tidemark.sources.retail import Retail, export_id
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import stage, staging_path
 from tidemark.sources.subset import subset
+from tidemark.streaming.counter_table import CounterTable
 from tidemark.streaming.daily_counts import (
-    features_from_counters, read_log_stream, run_counters,
+    features_from_counters, fights_from_counters, read_log_stream, run_counters, run_fights,
 )
 
 SUBSET_USERS = 100
 TOP_PLAYERS = 20
+STREAM_BATCHES = 5
+# Days of fights that are kept: shipments go on for four months after the reference day.
+FIGHT_DAYS = 180
 
 
 class Inputs:
@@ -389,27 +394,46 @@ def countermeasure_assign(i: Inputs) -> DataFrame:
 # --- streaming --------------------------------------------------------------------------------------
 
 
-def _stream_counters(i: Inputs) -> DataFrame:
-    """The event stream as a currency log, folded by the streaming counters."""
-    schema = i.retail.table("events").schema
-    stream = read_log_stream(i.spark, i.retail.folder, schema, glob="events.parquet")
+def _arrivals(i: Inputs, name: str, table: str, label: str, arrival: Column) -> DataFrame:
+    """The export of a log as a stream of several micro-batches, in another order than its times.
+
+    The source rows are laid out in folders by ``arrival``, without a shuffle, and a batch takes a share of
+    the files, so every batch has rows of days that earlier batches had already counted.
+    """
+    path = staging_path(i.spark, label)
+    source = i.retail.table(table)
+    source.withColumn("arrival", arrival).write.partitionBy("arrival").parquet(path)
+    files = len(i.spark.read.schema(source.schema).parquet(path).inputFiles())
+    stream = read_log_stream(i.spark, path, source.schema, files_per_batch=-(-files // STREAM_BATCHES) or 1)
 
     class Streamed(Retail):
         def table(self, name: str) -> DataFrame:
             return stream
 
-    raw = Streamed(i.spark, i.retail.folder).currency_transactions()
-    return run_counters(i.spark, raw, "counters")
+    return getattr(Streamed(i.spark, i.retail.folder), name)()
+
+
+def _stream_counters(i: Inputs) -> CounterTable:
+    """The event stream as a currency log, folded by the streaming counters."""
+    return run_counters(i.spark, _arrivals(i, "currency_transactions", "events", "events", F.hour("ts") % STREAM_BATCHES), "counters")
 
 
 def stream_daily_counts(i: Inputs) -> DataFrame:
-    return _stream_counters(i)
+    return _stream_counters(i).read()
 
 
 def stream_currency_features(i: Inputs) -> DataFrame:
     return features_from_counters(_stream_counters(i), i.ctx)
 
 
+def stream_fight_features(i: Inputs) -> DataFrame:
+    """Fights in several batches; two thirds of the characters are known while they arrive."""
+    raw = _arrivals(i, "fights_log", "lineitem", "fights", F.col("l_linenumber") % STREAM_BATCHES)
+    owners = character_owners(i.tables.characters)
+    early = owners.where(F.pmod(F.xxhash64("char_id"), F.lit(3)) > 0)
+    return fights_from_counters(run_fights(i.spark, raw, early, "fights", FIGHT_DAYS), owners, i.ctx)
+
+
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "id_normalize": id_normalize,
     "scan_semi_sample": scan_semi_sample,
@@ -476,6 +500,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "run_metadata": lambda i: run_metadata(i.scored_archetypes, i.ctx, i.rules, TARGETS, "ok"),
     "stream_daily_counts": stream_daily_counts,
     "stream_currency_features": stream_currency_features,
+    "stream_fight_features": stream_fight_features,
 }
 
 

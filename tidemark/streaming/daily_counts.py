@@ -1,41 +1,74 @@
-"""Incremental activity counters: the log features without rescanning the log.
+"""Incremental activity counters: the log features without rescanning the logs.
 
-The stream keeps one count per (player, day, concept, currency). The sink writes each
-micro-batch's changed counters to its own folder, so a repeated batch replaces itself; the newest
-batch of a counter is its value. The 30 day features read that compact table.
+Every micro-batch is folded to daily counters, which are added to a ``CounterTable``. Sums of a
+batch need no state between batches, and a late row adds to its own day however late it is, until
+that day leaves the retention. The 30 day features read that compact table.
+
+Fights name a character. A batch looks its characters up in the character table as it is then; the
+counters of characters that are not there yet keep the character's id and are looked up when read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.context import RunContext
 from tidemark.functions.numbers import flag
-from tidemark.operators.logs import currency_features
+from tidemark.operators.logs import currency_features, fight_features
 from tidemark.sources.canonical import prepare
 from tidemark.sources.staging import staging_path
+from tidemark.streaming.counter_table import CounterTable
+
+
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
 
-KEYS = ("user_id", "day", "concept", "currency")
-# Later rows than this are dropped from state; it must not be shorter than the feature window.
-WATERMARK = "40 days"
+CURRENCY_KEYS = _strings("user_id", "concept", "currency")
+CURRENCY_SUMS = ("n", "n_in", "n_out")
+FIGHT_KEYS = _strings("user_id", "char_id", "fight_type")
+FIGHT_SUMS = ("n", "n_won")
 
 
-def daily_counters(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Running counters of a (streaming or batch) prepared currency log."""
+def daily_counters(log: DataFrame) -> DataFrame:
+    """Counters of a prepared currency log."""
     return (
-        log.withWatermark("created_at", watermark)
-        .groupBy(F.window("created_at", "1 day"), "user_id", "concept", "currency")
+        log.groupBy("user_id", F.to_date("created_at").alias("day"), "concept", "currency")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(flag(F.col("quantity") > 0)).alias("n_in"),
             F.sum(flag(F.col("quantity") < 0)).alias("n_out"),
         )
-        .select(
-            "user_id", F.to_date("window.start").alias("day"), "concept", "currency", "n", "n_in",
-            "n_out",
-        )
+    )
+
+
+def daily_fights(log: DataFrame, owners: DataFrame) -> DataFrame:
+    """Counters of a prepared fight log: per owner, or per character while it has none.
+
+    Rows are folded per character before the lookup, which shuffles characters, not fights.
+    """
+    per_char = (
+        log.where(F.col("player_id").isNotNull())
+        .groupBy(F.col("player_id").alias("char_id"), F.to_date("start_time").alias("day"), "fight_type")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(flag(F.col("fight_winner") == 1.0)).alias("n_won"))
+    )
+    return owned_fights(per_char.withColumn("user_id", F.lit(None).cast("string")), owners)
+
+
+def owned_fights(counters: DataFrame, owners: DataFrame) -> DataFrame:
+    """Look up the characters of counters that have no owner yet."""
+    known = owners.select(F.col("char_id").alias("owned"), F.col("user_id").alias("owner"))
+    looked = counters.join(known, F.col("char_id") == F.col("owned"), "left")
+    user = F.coalesce("user_id", "owner")
+    return (
+        looked.groupBy(user.alias("user_id"), F.when(user.isNull(), F.col("char_id")).alias("char_id"), "fight_type", "day")
+        .agg(F.sum("n").alias("n"), F.sum("n_won").alias("n_won"))
     )
 
 
@@ -48,53 +81,78 @@ def read_log_stream(
     return reader.parquet(path)
 
 
-def start_counters(raw_stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Fold everything that is available and stop; rerun (or use another trigger) to go on."""
+def currency_table(spark: SparkSession, folder: str, keep_days: int | None = None, compact_every: int = 8) -> CounterTable:
+    return CounterTable(spark, folder, CURRENCY_KEYS, CURRENCY_SUMS, compact_every, keep_days)
+
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+def fight_table(spark: SparkSession, folder: str, keep_days: int | None = None, compact_every: int = 8) -> CounterTable:
+    return CounterTable(spark, folder, FIGHT_KEYS, FIGHT_SUMS, compact_every, keep_days)
 
-    counters = daily_counters(prepare("currency_transactions", raw_stream))
+
+def _start(raw_stream: DataFrame, fold: Callable[[DataFrame], DataFrame], table: CounterTable, checkpoint: str) -> StreamingQuery:
+    """Fold everything that is available and stop; rerun (or use another trigger) to go on."""
     return (
-        counters.writeStream.outputMode("update").foreachBatch(write_batch)
+        raw_stream.writeStream.foreachBatch(lambda batch, number: table.add(fold(batch), number))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def current_counters(spark: SparkSession, table: str) -> DataFrame:
-    """The latest value of every counter."""
-    newest = F.max(F.struct("batch", "n", "n_in", "n_out"))
-    return (
-        spark.read.parquet(table).groupBy(*KEYS).agg(newest.alias("v"))
-        .select(*KEYS, "v.n", "v.n_in", "v.n_out")
-    )
+def start_counters(raw_stream: DataFrame, table: CounterTable, checkpoint: str) -> StreamingQuery:
+    """A raw currency log into its counters."""
+    return _start(raw_stream, lambda b: daily_counters(prepare("currency_transactions", b)), table, checkpoint)
+
+
+def start_fights(
+    raw_stream: DataFrame, owners: Callable[[], DataFrame], table: CounterTable, checkpoint: str
+) -> StreamingQuery:
+    """A raw fight log into its counters. ``owners`` gives (char_id, user_id) as of each batch."""
+    return _start(raw_stream, lambda b: daily_fights(prepare("fights_log", b), owners()), table, checkpoint)
+
+
+def run_counters(spark: SparkSession, raw_stream: DataFrame, label: str) -> CounterTable:
+    """One availableNow run of a currency log into a fresh table of the shared folder."""
+    root = staging_path(spark, label)
+    table = currency_table(spark, f"{root}/counters", compact_every=3)
+    start_counters(raw_stream, table, f"{root}/checkpoint").awaitTermination()
+    return table
 
 
-def run_counters(spark: SparkSession, raw_stream: DataFrame, label: str) -> DataFrame:
-    """One availableNow run into a fresh table of the shared folder."""
+def run_fights(
+    spark: SparkSession, raw_stream: DataFrame, owners: DataFrame, label: str, keep_days: int | None = None
+) -> CounterTable:
     root = staging_path(spark, label)
-    query = start_counters(raw_stream, f"{root}/counters", f"{root}/checkpoint")
-    query.awaitTermination()
-    return current_counters(spark, f"{root}/counters")
+    table = fight_table(spark, f"{root}/counters", keep_days, compact_every=3)
+    start_fights(raw_stream, lambda: owners, table, f"{root}/checkpoint").awaitTermination()
+    return table
 
 
-def features_from_counters(counters: DataFrame, ctx: RunContext) -> DataFrame:
-    """The currency features of the log window, from the counters alone.
+def _inside(table: CounterTable, ctx: RunContext) -> DataFrame:
+    """Counters of the log window, cut by whole days.
 
-    The window is cut by whole days here: its last instant, 00:00 of the reference day, would need
-    the log itself.
+    The window's last instant, 00:00 of the reference day, would need the log itself.
     """
-    inside = (F.col("day") >= F.to_date(ctx.reference(ctx.window_days))) & (
-        F.col("day") < F.to_date(ctx.reference())
-    )
-    sets = counters.where(inside).groupingSets(
-        [["user_id", "concept"], ["user_id", "currency"], ["user_id", "day"]],
-        "user_id", "concept", "currency", "day",
-    ).agg(
-        F.grouping("concept").alias("no_concept"), F.grouping("currency").alias("no_currency"),
-        F.sum("n").alias("n"), F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"),
+    first = ctx.reference_date - timedelta(days=ctx.window_days)
+    return table.read(first, ctx.reference_date - timedelta(days=1))
+
+
+def _per_dimension(counters: DataFrame, dims: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+    """(user_id, dim, category, sums): counters of every dimension in one pass."""
+    sets = counters.groupingSets([["user_id", d] for d in dims], "user_id", *dims).agg(
+        *[F.grouping(d).alias(f"no_{d}") for d in dims], *[F.sum(s).alias(s) for s in sums]
     )
-    dim = F.when(F.col("no_concept") == 0, "concept").when(
-        F.col("no_currency") == 0, "currency"
-    ).otherwise("day")
-    return currency_features(sets.withColumn("dim", dim), ctx)
+    dim = F.lit(dims[-1])
+    for d in reversed(dims[:-1]):
+        dim = F.when(F.col(f"no_{d}") == 0, F.lit(d)).otherwise(dim)
+    return sets.withColumn("dim", dim)
+
+
+def features_from_counters(table: CounterTable, ctx: RunContext) -> DataFrame:
+    """The currency features of the log window, from the counters alone."""
+    sets = _per_dimension(_inside(table, ctx), ("concept", "currency", "day"), CURRENCY_SUMS)
+    return currency_features(sets, ctx)
+
+
+def fights_from_counters(table: CounterTable, owners: DataFrame, ctx: RunContext) -> DataFrame:
+    """The fight features of the log window, from the counters and the characters as they are now."""
+    owned = owned_fights(_inside(table, ctx), owners).where(F.col("user_id").isNotNull())
+    return fight_features(_per_dimension(owned, ("fight_type", "day"), FIGHT_SUMS))
