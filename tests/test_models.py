@@ -147,6 +147,47 @@ def test_nearest_centroid_brute_force(spark):
     assert not any(v["archetype_n1"] == 3 for v in got.values())
 
 
+def test_more_centroids_than_one_block(spark):
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(size=(300, 6)).astype(np.float32).astype(float), rng.normal(size=(1_500, 6))
+    c[1_400:] = c[:100]  # ties across blocks
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [1.0])]
+    cs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "code int, centroid array<double>").repartition(5)
+    df = spark.createDataFrame(rows, "i int, v array<float>")
+    for block_bytes in (9_000, 64_000_000):
+        got = by_key(clusters.nearest_centroid(df, "v", cs, block_bytes=block_bytes), "i")
+        square = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        assert [got[i]["archetype_n1"] for i in range(300)] == square.argmin(axis=1).tolist()
+        assert np.allclose([got[i]["distance"] for i in range(300)], square.min(axis=1))
+        assert all(got[i]["archetype_n1"] is None and got[i]["distance"] is None for i in (300, 301))
+
+
+def test_quality_of_many_clusters_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    labels = rng.integers(0, 60, size=500)
+    labels[0] = 999  # alone
+    centre = rng.normal(size=(1_000, 4)) * 3
+    x = centre[labels] + rng.normal(size=(500, 4))
+    rows = [(int(n), v.tolist()) for n, v in zip(labels, x)] + [(None, [0.0] * 4), (1, None)]
+    df = spark.createDataFrame(rows, "label int, v array<double>")
+    kinds = sorted(set(labels.tolist()))
+    mean = np.array([x[labels == k].mean(axis=0) for k in kinds])
+    spread = np.array([np.sqrt(((x[labels == k] - m) ** 2).sum(axis=1)).mean() for k, m in zip(kinds, mean)])
+    apart = np.sqrt(((mean[:, None] - mean[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    want = ((spread[:, None] + spread[None]) / apart).max(axis=1).mean()
+    square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    widths = []
+    for i in range(500):
+        to = {k: square[i][labels == k].sum() / max(1, (labels == k).sum() - (labels[i] == k)) for k in kinds}
+        a, b = to[labels[i]], min(v for k, v in to.items() if k != labels[i])
+        widths.append(0.0 if (labels == labels[i]).sum() == 1 else (b - a) / max(a, b))
+    for block_bytes in (400, 64_000_000):
+        got = one(clusters.cluster_quality(df, "v", "label", block_bytes))
+        assert got["clusters"] == len(kinds) and got["davies_bouldin"] == pytest.approx(want)
+        assert got["silhouette"] == pytest.approx(np.mean(widths))
+
+
 def test_split_of_many_labels_and_null(spark):
     rows = [(f"{i:024x}", None if i % 151 == 150 else i % 151) for i in range(151 * 20)]
     got = stratified_split(spark.createDataFrame(rows, "user_id string, y int"), "y").groupBy("y", "split").count().collect()
