@@ -76,6 +76,15 @@ PRIORITY = """CASE WHEN risk = 'critical' AND code IN (1, 2, 3, 5) THEN 'P0|Acci
   WHEN risk IN ('critical', 'high') AND code = 0 THEN 'P1|Refuerzo onboarding'
   WHEN risk = 'medium' THEN 'P2|Seguimiento preventivo' ELSE 'P4|Monitorización pasiva' END"""
 
+# The rules of strict_rules.json: other bands, another drift threshold, another order of actions.
+DEFS["strict"] = f"""SELECT c, user_id, source, final, CASE WHEN final >= 0.9 THEN 'critical' WHEN final >= 0.7 THEN 'high'
+  WHEN final >= 0.5 THEN 'medium' WHEN final >= 0.25 THEN 'low' ELSE 'very_low' END AS risk
+  FROM (SELECT l.c, {uid('l.c')} AS user_id, CASE WHEN q30 IS NULL THEN 'live_new'
+    WHEN abs(p30 - q30) <= 0.02::DOUBLE THEN 'oof_stable' ELSE 'live_drift' END AS source,
+    CASE WHEN abs(p30 - q30) <= 0.02::DOUBLE THEN q30 ELSE p30 END AS final
+    FROM live l LEFT JOIN oof o ON o.c = l.c)"""
+WANTS["strict"] = ["live", "oof"]
+
 # --- taste -------------------------------------------------------------------------------------------
 DEFS["axes"] = f"""SELECT m.user_id, {NAMES.format(c='code', other='NULL')} AS arquetipo_n1, code,
   (fights_pct_pvp IS NOT NULL OR currency_pct_inflow IS NOT NULL)::INT AS has_tier2,
@@ -454,6 +463,20 @@ ORACLE = {
   {risk('p14')} AS risk_14d, {risk('p30')} AS risk_30d FROM live"""),
     "priority_rules": stmt(["seg"], f"""SELECT user_id, code AS archetype_n1,
   split_part({PRIORITY}, '|', 1) AS priority, split_part({PRIORITY}, '|', 2) AS label FROM seg"""),
+    "document_rules": stmt(["strict", "arch", "axes"], f"""SELECT s.user_id, s.source AS churn_30d_source, s.risk,
+  CASE WHEN risk = 'critical' AND code IN (2, 5) THEN 'P0' WHEN risk IN ('critical', 'high') THEN 'P1'
+    WHEN risk = 'medium' AND code = 0 THEN 'P2' ELSE 'P5' END AS priority,
+  CASE WHEN risk = 'critical' AND code IN (2, 5) THEN 'call today' WHEN risk IN ('critical', 'high') THEN 'write this week'
+    WHEN risk = 'medium' AND code = 0 THEN 'watch newcomers' ELSE 'leave alone' END AS label,
+  (final >= 0.7)::INT AS at_risk, act.cod AS contramedida_primaria_cod,
+  CASE cod WHEN 'CM13' THEN 'vip_call' ELSE {LABELS} END AS contramedida_primaria_label
+  FROM strict s JOIN arch ON arch.c = s.c LEFT JOIN (SELECT user_id, CASE
+    WHEN monetizacion = 'pagador' AND arquetipo_n1 IS DISTINCT FROM 'Casual Dormido'
+      AND (perfil_oro = 'gastador' OR perfil_enhance = 'inversor') THEN 'CM13'
+    WHEN monetizacion = 'trial_no_convertido' THEN 'CM03'
+    WHEN monetizacion = 'pagador' AND arquetipo_n1 = 'Hardcore End-Game' THEN 'CM01' WHEN monetizacion = 'pagador' THEN 'CM02'
+    WHEN monetizacion = 'no_pagador_ads' THEN 'CM08' WHEN perfil_coleccion = 'coleccionista' THEN 'CM05' ELSE 'CM09' END AS cod
+    FROM axes) act ON act.user_id = s.user_id"""),
     "cross_predictions": stmt(["seg"], f"""SELECT user_id, p7 AS churn_prob_7d, p14 AS churn_prob_14d,
   p30 AS churn_prob_30d, code AS archetype_n1, {NAMES.format(c='code', other="'?'")} AS archetype_name,
   'live_model' AS source FROM seg WHERE code IS NOT NULL""",

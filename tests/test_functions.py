@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import by_key, one, oid
 from tidemark.functions import diversity, ids, numbers, times
-from tidemark.functions.order_stats import percentiles, ranked_values
+from tidemark.functions.order_stats import column_percentiles, percentiles, ranked_values
 
 
 def test_three_id_rules(spark):
@@ -125,6 +125,25 @@ def test_percentiles_per_group_and_without_rows(spark):
     assert percentiles(df, "v", [0.5], by="g") == {"a": [1.5], "b": [7.0], "c": [None]}
 
 
+def test_columns_and_groups_share_their_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(("x", "y", None)[i % 3], rng.gauss(0, 1), rng.getrandbits(58), i % 4 or None, rng.gauss(0, 1e9)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g string, a double, b bigint, c int, d double")
+    passes = []
+    real = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: passes.append(1) or real(self))
+    probs = {"a": [0.1, 0.5], "b": [0.75], "c": [0.0, 0.33, 1.0], "d": [0.5, 0.9]}
+    got = column_percentiles(df, probs, by="g")
+    shared = len(passes)
+    passes.clear()
+    alone = [column_percentiles(df, {c: p}) and (len(passes), passes.clear())[0] for c, p in probs.items()]
+    assert shared <= max(alone) + 1 < sum(alone)
+    for i, column in enumerate("abcd", 1):
+        for g in ("x", "y", None):
+            values = [r[i] for r in rows if r[0] == g and r[i] is not None]
+            assert got[(column, g)] == pytest.approx(list(np.quantile(np.array(values, float), probs[column])), rel=1e-12)
+
+
 def test_ranks_of_large_integers(spark):
     values = sorted({random.Random(i).getrandbits(60) for i in range(3000)})
     df = spark.createDataFrame([(v,) for v in values], "v bigint")

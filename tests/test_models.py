@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import by_key, oid, one
 from tidemark.operators import clusters
 from tidemark.operators.encode import TargetEncoder, fit_encoder
-from tidemark.operators.evaluate import evaluate
+from tidemark.operators.evaluate import evaluate, evaluate_each, score_ranks
 from tidemark.operators.models import (
     ArchetypeModel, ChurnModels, ForestParams, align, evaluate_splits, fit_archetypes, fit_churn, fold_of,
     out_of_fold,
@@ -147,6 +147,29 @@ def test_nearest_centroid_brute_force(spark):
     assert not any(v["archetype_n1"] == 3 for v in got.values())
 
 
+def test_close_scores_spread_and_groups_are_ranked_in_one_pass(spark):
+    rng = random.Random(9)
+    # All scores within what one bucket of equal width would hold, one of them on half of the rows.
+    data = [(0.5 + (0 if i % 2 else rng.random() * 1e-5), rng.random(), int(rng.random() < 0.4), None if i % 10 == 0 else i % 2, "ab"[i % 3 == 0]) for i in range(3_000)]
+    df = spark.createDataFrame(data, "s double, r double, y int, z int, part string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is tiny
+    try:
+        ranks = score_ranks(df, "s", "y")
+        parts = ranks.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(parts) > 1 and max(r["count"] for r in parts) < 1_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {(r.target, r.split): r.asDict() for r in evaluate_each(df, {"one": ("s", "y"), "two": ("r", "z")}, {"one": "part", "two": "part"}).collect()}
+    assert set(got) == {(t, p) for t in ("one", "two") for p in "ab"}
+    for (target, part), found in got.items():
+        score, label = {"one": ("s", "y"), "two": ("r", "z")}[target]
+        want = one(evaluate(df.where(F.col("part") == part), score, label))
+        assert {k: found[k] for k in want} == pytest.approx(want)
+    rows = sorted((s for s, *_ in data), reverse=True)
+    above = {r.s: r.pos_above + r.neg_above for r in ranks.collect()}
+    assert all(above[s] == rows.index(s) for s in set(rows))
+
+
 def test_more_centroids_than_one_block(spark):
     rng = np.random.default_rng(4)
     x, c = rng.normal(size=(300, 6)).astype(np.float32).astype(float), rng.normal(size=(1_500, 6))

@@ -1,8 +1,9 @@
-"""Exact order statistics of one column over any number of rows.
+"""Exact order statistics of any number of columns over any number of rows.
 
 A global ``percentile`` holds every distinct value in one task. Here each pass counts rows in a
 bounded number of value bins, and the next pass looks only inside the bin that holds the wanted
-rank, until that bin has a single value. Only bin counts reach the driver (bins x brackets rows).
+rank, until that bin has a single value. All columns and groups share their passes, so there are as
+many as the hardest column needs. Only bin counts reach the driver (bins x brackets rows).
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BINS = 2048
 
 
 @dataclass(frozen=True)
 class _Bracket:
+    column: str
     group: object
     low: object
     high: object
@@ -45,99 +48,137 @@ def _bin(v: Column, b: _Bracket) -> Column:
     return F.when(v == -math.inf, -1).when(v == math.inf, BINS).otherwise(inner)
 
 
-def ranked_values(
-    df: DataFrame, value: str, ranks: dict[object, Sequence[int]], by: str | None = None,
-    spans: dict | None = None,
-) -> dict[tuple[object, int], object]:
-    """The values at the given 1-based ranks, per group of ``by`` (a handful of labels).
+@dataclass(frozen=True)
+class Span:
+    """The non-null rows of a column in a group, and its least and greatest value."""
+
+    n: int
+    low: object
+    high: object
+
+
+Key = tuple[str, object]  # (column, group); without groups the group is None
+
+
+def spans_of(df: DataFrame, columns: Sequence[str], by: str | None = None) -> dict[Key, Span]:
+    """The first pass of every selection, for all columns and groups at once."""
+    aggs = [f(F.col(c)).alias(f"{i}{k}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    rows = df.agg(*aggs).collect() if by is None else df.groupBy(by).agg(*aggs).collect()
+    return {
+        (c, None if by is None else r[by]): Span(r[f"{i}n"], r[f"{i}lo"], r[f"{i}hi"])
+        for r in rows for i, c in enumerate(columns)
+    }
+
+
+def ranked_columns(
+    df: DataFrame, ranks: dict[Key, Sequence[int]], by: str | None = None, spans: dict[Key, Span] | None = None,
+) -> dict[tuple[str, object, int], object]:
+    """The values at the given 1-based ranks of every column and group of ``by`` (a handful of labels).
 
-    Returns ``{(group, rank): value}``; without ``by`` the group is None.
+    Returns ``{(column, group, rank): value}``. Whole numbers stay whole, other columns are doubles.
     """
-    spans = spans or value_spans(df, value, by)
-    found: dict[tuple[object, int], object] = {}
+    columns = list(dict.fromkeys(c for c, _ in ranks))
+    whole = {c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)}
+    typed = [F.col(c).cast("bigint" if c in whole else "double").alias(f"_v{i}") for i, c in enumerate(columns)]
+    values = df.select(*typed, *([F.col(by).alias("_by")] if by is not None else []))
+    value = {c: F.col(f"_v{i}") for i, c in enumerate(columns)}
+    spans = spans or spans_of(df, columns, by)
+    found: dict[tuple[str, object, int], object] = {}
     open_: dict[_Bracket, list[int]] = {}
 
     def place(b: _Bracket, rank: int) -> None:
         if b.low == b.high:
-            found[(b.group, rank)] = b.low
+            found[(b.column, b.group, rank)] = b.low
         else:
             open_.setdefault(b, []).append(rank)
 
-    for group, wanted in ranks.items():
-        n, low, high = spans[group]
+    for (column, group), wanted in ranks.items():
+        span = spans[(column, group)]
+        kind = int if column in whole else float
         for r in wanted:
-            if not 1 <= r <= n:
-                raise ValueError(f"rank {r} outside 1..{n} for group {group!r}")
-            place(_Bracket(group, low, high, 0), r)
+            if not 1 <= r <= span.n:
+                raise ValueError(f"rank {r} outside 1..{span.n} of {column} for group {group!r}")
+            place(_Bracket(column, group, kind(span.low), kind(span.high), 0), r)
 
-    v = F.col(value)
     while open_:
         brackets = list(open_)
-        which, slot = F.lit(None).cast("int"), F.lit(None).cast("int")
-        for i, b in reversed(list(enumerate(brackets))):
+        cells = []
+        for i, b in enumerate(brackets):
+            v = value[b.column]
             inside = v.between(b.low, b.high)
             if by is not None:
-                inside = inside & F.col(by).eqNullSafe(F.lit(b.group))
-            step = _bin(v, b)
-            which = F.when(inside, F.lit(i)).otherwise(which)
-            slot = F.when(inside, step).otherwise(slot)
+                inside = inside & F.col("_by").eqNullSafe(F.lit(b.group))
+            whole_value, other_value = (v, F.lit(None)) if b.column in whole else (F.lit(None), v)
+            cells.append(F.when(inside, F.struct(
+                F.lit(i).alias("b"), _bin(v, b).alias("s"), whole_value.cast("bigint").alias("w"), other_value.cast("double").alias("d")
+            )))
         rows = (
-            df.select(v.alias("_v"), which.alias("_b"), slot.alias("_s"))
-            .where(F.col("_b").isNotNull())
-            .groupBy("_b", "_s")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+            values.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+            .groupBy("c.b", "c.s")
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.min("c.w").alias("wlo"), F.max("c.w").alias("whi"), F.min("c.d").alias("dlo"), F.max("c.d").alias("dhi"),
+            )
             .collect()
         )
+        by_bracket: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: r["s"]):
+            low, high = (r["wlo"], r["whi"]) if r["wlo"] is not None else (r["dlo"], r["dhi"])
+            by_bracket.setdefault(r["b"], []).append((r["n"], low, high))
         pending, open_ = open_, {}
         for i, b in enumerate(brackets):
-            cells = sorted((r for r in rows if r["_b"] == i), key=lambda r: r["_s"])
             for rank in pending[b]:
                 below = b.below
-                for c in cells:
-                    if rank <= below + c["n"]:
-                        if (c["lo"], c["hi"]) == (b.low, b.high) and len(cells) == 1:
+                for n, low, high in by_bracket[i]:
+                    if rank <= below + n:
+                        if (low, high) == (b.low, b.high) and len(by_bracket[i]) == 1:
                             raise ArithmeticError(f"no bin divides {b.low!r} to {b.high!r}")
-                        place(_Bracket(b.group, c["lo"], c["hi"], below), rank)
+                        place(_Bracket(b.column, b.group, low, high, below), rank)
                         break
-                    below += c["n"]
+                    below += n
     return found
 
 
-def value_spans(df: DataFrame, value: str, by: str | None = None) -> dict:
-    """{group: (non-null rows, min, max)}; the first pass of every selection."""
-    aggs = [F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")]
-    if by is None:
-        r = df.agg(*aggs).first()
-        return {None: (r["n"], r["lo"], r["hi"])}
-    return {r[by]: (r["n"], r["lo"], r["hi"]) for r in df.groupBy(by).agg(*aggs).collect()}
+def ranked_values(
+    df: DataFrame, value: str, ranks: dict[object, Sequence[int]], by: str | None = None
+) -> dict[tuple[object, int], object]:
+    """``{(group, rank): value}`` of one column; without ``by`` the group is None."""
+    found = ranked_columns(df, {(value, g): r for g, r in ranks.items()}, by)
+    return {(g, r): v for (_, g, r), v in found.items()}
 
 
-def percentiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: str | None = None
-) -> dict[object, list[float | None]]:
-    """Percentiles with linear interpolation between neighbouring ranks, per group.
+def column_percentiles(
+    df: DataFrame, probs: dict[str, Sequence[float]], by: str | None = None
+) -> dict[Key, list[float | None]]:
+    """Percentiles with linear interpolation between neighbouring ranks, per column and group.
 
-    The same values as an exact ``percentile`` aggregate. ``df`` is scanned once per pass, so hand
-    in a staged or cached column, not a long plan.
+    The same values as exact ``percentile`` aggregates of the non-null values; None where there are none.
+    ``df`` is scanned once per pass, so hand in staged or cached columns, not a long plan.
     """
-    spans = value_spans(df, value, by)
-    ranks: dict[object, set[int]] = {}
-    for group, (n, _, _) in spans.items():
-        for p in probs:
-            if n:
-                pos = p * (n - 1)
-                ranks.setdefault(group, set()).update({math.floor(pos) + 1, math.ceil(pos) + 1})
-    values = ranked_values(df, value, {g: sorted(r) for g, r in ranks.items()}, by, spans)
-    out: dict[object, list[float | None]] = {}
-    for group, (n, _, _) in spans.items():
+    spans = spans_of(df, list(probs), by)
+    ranks: dict[Key, set[int]] = {}
+    for (column, group), span in spans.items():
+        for p in probs[column] if span.n else ():
+            pos = p * (span.n - 1)
+            ranks.setdefault((column, group), set()).update({math.floor(pos) + 1, math.ceil(pos) + 1})
+    values = ranked_columns(df, {k: sorted(r) for k, r in ranks.items()}, by, spans) if ranks else {}
+    out: dict[Key, list[float | None]] = {}
+    for (column, group), span in spans.items():
         row: list[float | None] = []
-        for p in probs:
-            if not n:
+        for p in probs[column]:
+            if not span.n:
                 row.append(None)
                 continue
-            pos = p * (n - 1)
+            pos = p * (span.n - 1)
             lo, hi = math.floor(pos), math.ceil(pos)
-            a, b = float(values[(group, lo + 1)]), float(values[(group, hi + 1)])
+            a, b = (float(values[(column, group, i + 1)]) for i in (lo, hi))
             row.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
-        out[group] = row
+        out[(column, group)] = row
     return out
+
+
+def percentiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: str | None = None
+) -> dict[object, list[float | None]]:
+    """``column_percentiles`` of one column, by group."""
+    return {g: row for (_, g), row in column_percentiles(df, {value: probs}, by).items()}

@@ -7,11 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.rules import TARGETS
-
-
-def suffix(target: str) -> str:
-    return target.split("_", 1)[1]
+from tidemark.rules import TARGETS, probability
 
 
 def reconcile(
@@ -21,10 +17,10 @@ def reconcile(
 
     A stored score whose live one is missing has the source ``unknown`` and no final score.
     """
-    present = [t for t in targets if f"churn_prob_{suffix(t)}" in live.columns]
-    renamed = live.withColumnsRenamed({f"churn_prob_{suffix(t)}": f"{t}_live" for t in present})
+    present = [t for t in targets if probability(t) in live.columns]
+    renamed = live.withColumnsRenamed({probability(t): f"{t}_live" for t in present})
     stored = oof.select(
-        "user_id", *[F.col(f"churn_prob_{suffix(t)}_oof").alias(f"{t}_oof") for t in present]
+        "user_id", *[F.col(f"{probability(t)}_oof").alias(f"{t}_oof") for t in present]
     )
     joined = renamed.join(stored, "user_id", "left")
     for t in present:

@@ -112,10 +112,10 @@ def high_risk(predictions: DataFrame, rules: RuleBook, targets: Sequence[str] =
     """(horizon, n, pct) of players at or above the high-risk threshold."""
     wide = predictions.agg(
         F.count(F.lit(1)).alias("_all"),
-        *[F.count_if(F.col(f"{t}_final") >= rules.high_risk).alias(t.split("_", 1)[1])
+        *[F.count_if(F.col(f"{t}_final") >= rules.high_risk).alias(t.removeprefix("churn_"))
           for t in targets],
     )
-    return wide.unpivot(["_all"], [t.split("_", 1)[1] for t in targets], "horizon", "n").select(
+    return wide.unpivot(["_all"], [t.removeprefix("churn_") for t in targets], "horizon", "n").select(
         "horizon", "n", round_half_even(ratio(100 * F.col("n"), F.col("_all")), 1).alias("pct")
     )
 

@@ -117,12 +117,24 @@ def action_rules(rules: RuleBook) -> dict[str, Column]:
     }
 
 
+def compile_condition(condition: dict) -> Column:
+    """A condition of a rule document (see ``rule_document``) over the axes; unknown is false."""
+    (name, part), = condition.items()
+    if name == "all":
+        return reduce(lambda a, b: a & b, map(compile_condition, part), F.lit(True))
+    if name == "any":
+        return reduce(lambda a, b: a | b, map(compile_condition, part), F.lit(False))
+    if name == "not":
+        return ~compile_condition(part)
+    return F.coalesce(F.col(name).isin(*part), F.lit(False))
+
+
 def assign_actions(
     axes: DataFrame, rules: RuleBook,
     triggers: Callable[[RuleBook], dict[str, Column]] = action_rules,
 ) -> DataFrame:
     """The first matching action in the configured order; the fallback covers the rest."""
-    known = triggers(rules)
+    known = triggers(rules) | {code: compile_condition(c) for code, c in rules.action_conditions.items()}
     order = [c for c in rules.action_order if c in known]
     code = reduce(
         lambda rest, c: F.when(known[c], F.lit(c)).otherwise(rest), reversed(order),

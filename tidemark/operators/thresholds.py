@@ -7,7 +7,7 @@ from dataclasses import asdict
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.functions.order_stats import percentiles
+from tidemark.functions.order_stats import column_percentiles
 from tidemark.operators.sample import in_sample
 from tidemark.rules import TasteThresholds
 from tidemark.sources.staging import read_document, write_document
@@ -15,6 +15,8 @@ from tidemark.sources.staging import read_document, write_document
 LEVEL_PROBS = {"level_p50": 0.50, "level_p75": 0.75, "level_p90": 0.90}
 BUILD_PROBS = {"build_t33": 0.33, "build_t67": 0.67}
 COLLECTION_PROBS = {"collection_p75": 0.75}
+# Column of the taste master -> names of its fitted values and their probabilities.
+FITTED_COLUMNS = {"items_attack_defense_ratio": BUILD_PROBS, "coll_total_items": COLLECTION_PROBS}
 
 
 def fit_columns(
@@ -22,14 +24,11 @@ def fit_columns(
 ) -> dict[str, float | None]:
     """Exact interpolated percentiles by name, for ``{column: {name: probability}}``."""
     values = df.select(*probs).persist(StorageLevel.MEMORY_AND_DISK)
-    fitted: dict[str, float | None] = {}
     try:
-        for column, named in probs.items():
-            found = percentiles(values.where(values[column].isNotNull()), column, list(named.values()))
-            fitted |= dict(zip(named, found[None]))
+        found = column_percentiles(values, {c: list(named.values()) for c, named in probs.items()})
     finally:
         values.unpersist()
-    return fitted
+    return {name: v for c, named in probs.items() for name, v in zip(named, found[(c, None)], strict=True)}
 
 
 def fit_level(characters: DataFrame, sample: DataFrame) -> dict[str, float | None]:
@@ -39,9 +38,7 @@ def fit_level(characters: DataFrame, sample: DataFrame) -> dict[str, float | Non
 
 def fit_taste(master: DataFrame) -> dict[str, float | None]:
     """Terciles of the build ratio and the upper quartile of the collection size."""
-    return fit_columns(master, {
-        "items_attack_defense_ratio": BUILD_PROBS, "coll_total_items": COLLECTION_PROBS,
-    })
+    return fit_columns(master, FITTED_COLUMNS)
 
 
 def fit_thresholds(master: DataFrame, characters: DataFrame, sample: DataFrame) -> TasteThresholds:

@@ -15,7 +15,7 @@ from tidemark.operators import cleanup, clusters, report
 from tidemark.operators.block import CHURN
 from tidemark.operators.characters import character_owners
 from tidemark.operators.encode import fit_encoder
-from tidemark.operators.evaluate import evaluate
+from tidemark.operators.evaluate import evaluate_each
 from tidemark.operators.logs import log_window
 from tidemark.operators.models import (
     FOREST_30D, evaluate_splits, fit_archetypes, fit_churn, out_of_fold,
@@ -34,7 +34,8 @@ from tidemark.operators.taste import (
 from tidemark.operators.thresholds import fit_level, fit_taste
 from tidemark.plans import master as plans
 from tidemark.plans.score import run_metadata
-from tidemark.rules import ENCODED_COLUMNS, TARGETS, RuleBook
+from tidemark.rule_document import packaged_rules
+from tidemark.rules import ENCODED_COLUMNS, HORIZONS, TARGETS, RuleBook
 from tidemark.sources.canonical import Tables
 from tidemark.sources.identify import identify, table_headers, validation_report
 from tidemark.sources.readers import oof_scores
@@ -297,11 +298,7 @@ def cleanup_apply(i: Inputs) -> DataFrame:
 
 def eval_metrics(i: Inputs) -> DataFrame:
     both = i.live.join(i.labels(), "user_id")
-    out = None
-    for t in TARGETS:
-        one = evaluate(both, f"churn_prob_{t.split('_')[1]}", t).withColumn("target", F.lit(t))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return evaluate_each(both, {t: (f"churn_prob_{days}d", t) for t, days in HORIZONS.items()})
 
 
 def _fitted(i: Inputs, targets=TARGETS, calibrate=False):
@@ -380,6 +377,22 @@ def priority_rules(i: Inputs) -> DataFrame:
     )
 
 
+def document_rules(i: Inputs) -> DataFrame:
+    """Risk, priority, drift and action under the rules of a document."""
+    book = packaged_rules("strict_rules.json")
+    stored = oof_scores(i.spark, i.retail.stored_scores())
+    scores = reconcile(i.live, stored, book.drift_threshold).select("user_id", "churn_30d_source", "churn_30d_final")
+    actions = taste_profile(i.taste_features, i.archetypes, book).select("user_id", "contramedida_primaria_cod", "contramedida_primaria_label")
+    risk = risk_level(F.col("churn_30d_final"), book)
+    both = scores.join(i.archetypes, "user_id").join(actions, "user_id", "left")
+    ruled = both.withColumn("risk", risk).withColumn("r", priority(F.col("risk"), F.col("archetype_n1"), book))
+    return ruled.select(
+        "user_id", "churn_30d_source", "risk", "r.priority", "r.label",
+        (F.col("churn_30d_final") >= book.high_risk).cast("int").alias("at_risk"),
+        "contramedida_primaria_cod", "contramedida_primaria_label",
+    )
+
+
 def taste_axes_query(i: Inputs) -> DataFrame:
     return taste_axes(i.taste_features, i.archetypes, i.rules)
 
@@ -482,6 +495,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "drift_reconcile": lambda i: i.scores,
     "risk_levels": risk_levels,
     "priority_rules": priority_rules,
+    "document_rules": document_rules,
     "cross_predictions": lambda i: crossed_predictions(_crossed(i)),
     "cross_segment": lambda i: segmentation(_crossed(i)),
     "taste_axes": taste_axes_query,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -17,6 +18,7 @@ from tidemark.operators.reconcile import reconcile
 from tidemark.operators.sample import run_context
 from tidemark.operators.taste import taste_profile
 from tidemark.plans.master import churn_columns, taste_master
+from tidemark.plans.resume import StagedRun
 from tidemark.rules import RuleBook
 from tidemark.sources.canonical import Tables
 from tidemark.sources.readers import oof_scores
@@ -40,33 +42,42 @@ class ScoringRun:
 def score_players(
     spark: SparkSession, tables: Tables, models: ChurnModels,
     archetypes: ArchetypeModel | None = None, stored_oof: DataFrame | None = None,
-    rules: RuleBook | None = None, ctx: RunContext | None = None,
+    rules: RuleBook | None = None, ctx: RunContext | None = None, staged: StagedRun | None = None,
 ) -> ScoringRun:
     """Build the masters once, score, reconcile, profile.
 
     The master is staged because three forests, the archetype model and the axes read it. If the
-    archetype or taste step fails, the run keeps its scores and the output keeps its columns.
+    archetype or taste step fails, the run keeps its scores and the output keeps its columns. Tables that
+    ``staged`` already holds are taken from there; without it they are written for this run alone.
     """
     rules = rules or RuleBook()
     ctx = ctx or run_context(tables.users)
-    staged: list[str] = []
-    master = stage(taste_master(tables, ctx, rules=rules), "master", staged)
-    live = models.score(master.select(*churn_columns(master.columns)))
-    scores = stage(
-        reconcile(live, oof_scores(spark, stored_oof), rules.drift_threshold, models.targets),
-        "scores", staged,
-    )
+    written: list[str] = []
+
+    def keep(label: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return stage(build(), label, written) if staged is None else staged.table(label, build)
+
+    def score() -> DataFrame:
+        live = models.score(master.select(*churn_columns(master.columns)))
+        return reconcile(live, oof_scores(spark, stored_oof), rules.drift_threshold, models.targets)
+
+    try:
+        master = keep("master", lambda: taste_master(tables, ctx, rules=rules))
+        scores = keep("scores", score)
+    except BaseException:
+        discard(spark, written)
+        raise
     try:
         if archetypes is None:
             raise LookupError("no archetype model")
-        codes = stage(archetypes.assign(master), "archetypes", staged)
-        profile = stage(taste_profile(master, codes, rules), "taste", staged)
+        codes = keep("archetypes", lambda: archetypes.assign(master))
+        profile = keep("taste", lambda: taste_profile(master, codes, rules))
         full = report.full_predictions(scores, codes, profile, rules, models.targets)
         status, error = "ok", None
     except Exception as e:  # scores are worth delivering without a profile
         full = report.without_archetypes(scores, models.targets)
         status, error = "skipped", repr(e)
-    return ScoringRun(ctx, scores, full, status, error, staged)
+    return ScoringRun(ctx, scores, full, status, error, written)
 
 
 def run_metadata(
@@ -116,7 +127,15 @@ def write_run(
     Parquet keeps the literal 'null' axis value apart from a missing one. The other sinks read the
     written predictions instead of computing them again.
     """
-    rules = rules or RuleBook()
+    try:
+        _write_sinks(spark, run, models, folder, rules or RuleBook(), started)
+    finally:
+        discard(spark, run.staged)
+
+
+def _write_sinks(
+    spark: SparkSession, run: ScoringRun, models: ChurnModels, folder: str, rules: RuleBook, started: float | None
+) -> None:
     write_table(run.full, f"{folder}/predictions_full")
     full = run.full = spark.read.parquet(f"{folder}/predictions_full")
     write_table(full, f"{folder}/predictions_full_csv", "csv")
@@ -134,4 +153,3 @@ def write_run(
         "models": [r.asDict() for r in models.summary(spark).collect()],
     }, f"{folder}/run_metadata")
     run.scores = full.select("user_id", *report.score_columns(models.targets))
-    discard(spark, run.staged)

@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 HORIZONS = {"churn_7d": 7, "churn_14d": 14, "churn_30d": 30}
 TARGETS = tuple(HORIZONS)
 
+
+def probability(target: str) -> str:
+    """The column of a target's live score."""
+    return target.replace("churn_", "churn_prob_", 1)
+
+
 # --- fixed values: archetypes (code -> name, business priority) ----------------------------------
 ARCHETYPES = {
     0: ("Recién Llegado Explorador", "alta"),
@@ -217,6 +223,10 @@ class RuleBook:
         PriorityRule(("low", "very_low"), "P4", "Monitorización pasiva"),
     )
     priority_default: tuple[str, str] = ("P4", "Monitorización pasiva")
+    # conditions of actions that a rule document states; the others keep their own (see operators.taste)
+    action_conditions: dict = field(default_factory=dict)
+    # the model versions a job loads, by kind ("churn", "archetypes")
+    active: dict = field(default_factory=dict)
 
     def archetype_code(self, name: str) -> int | None:
         for code, (known, _) in self.archetypes.items():
