@@ -91,11 +91,13 @@ CTE = {
     "coll": "SELECT c, l_partkey AS def, tsp AS created FROM line WHERE l_quantity <> 13",
     "feedback": """SELECT user_id AS c, event_type AS kind, ts - INTERVAL 8302 DAY AS created
         FROM events""",
-    "currency": """SELECT user_id AS c,
+    "currency": """SELECT CASE WHEN user_id % 11 = 7 THEN user_id + 1000000000 ELSE user_id END AS c,
         CASE WHEN NOT (event_type = 'error' AND user_id % 10 = 4) THEN event_type END AS concept,
         'coin-' || floor(json_extract_string(props, '$.k')::INT / 25.0)::INT AS currency,
         value - CASE user_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 10.0 ELSE 50.0 END AS quantity,
-        ts - INTERVAL 8218 DAY AS created FROM events""",
+        CASE user_id % 7 WHEN 3 THEN ts - INTERVAL 8247 DAY WHEN 5 THEN ts - INTERVAL 8216 DAY
+            WHEN 1 THEN date_trunc('day', ts - INTERVAL 8218 DAY)::TIMESTAMP ELSE ts - INTERVAL 8218 DAY END
+            AS created FROM events""",
     "cur_w": """SELECT currency.* FROM currency, tm
         WHERE created >= ref - INTERVAL 30 DAY AND created <= ref""",
     "fights": """SELECT l.l_orderkey AS k, l.l_shipdate + to_hours(l.l_linenumber) AS tsp,

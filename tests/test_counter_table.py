@@ -108,6 +108,7 @@ def test_fights_in_a_stream_equal_the_batch(spark, ctx, tmp_path):
          (at + timedelta(hours=9 * i)).timestamp())
         for i in range(120)
     ]
+    rows += [(oid(i), "FIGHT_TYPE_TOWER", 1.0, datetime(2026, 4, 4, 0, 0, s).timestamp()) for i in (1, 2) for s in (0, 1)]  # the edge of the window
     rows.append((oid(3), "FIGHT_TYPE_TOWER", 1.0, (at + timedelta(days=9)).timestamp()))  # arrives last, long after its day
     people = [(oid(c), oid(100 + c % 4), c == 12, at) for c in range(13)]
     characters = prepare("characters", spark.createDataFrame(people, CHARACTERS))

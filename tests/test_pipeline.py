@@ -123,6 +123,7 @@ def test_stream_equals_batch(spark, ctx, tmp_path):
 
     rows = [(oid(i % 5), f"c{i % 3}", None if i % 7 == 0 else f"k{i % 2}", float(i % 4 - 1),
              datetime(2026, 3, 10) + timedelta(hours=5 * i)) for i in range(100)]
+    rows += [(oid(1), "c1", "k1", 1.0, datetime(2026, 4, 4) + timedelta(seconds=s)) for s in (0, 1)]  # the edge of the window
     src, folder, check = (str(tmp_path / n) for n in ("src", "table", "check"))
     table = currency_table(spark, folder, compact_every=3)
     for part in range(4):

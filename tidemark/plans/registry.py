@@ -432,11 +432,11 @@ def _stream_counters(i: Inputs) -> CounterTable:
 
 
 def stream_daily_counts(i: Inputs) -> DataFrame:
-    return _stream_counters(i).read()
+    return _stream_counters(i).read().drop("midnight_n", "midnight_n_in", "midnight_n_out")
 
 
 def stream_currency_features(i: Inputs) -> DataFrame:
-    return features_from_counters(_stream_counters(i), i.ctx)
+    return in_sample(features_from_counters(_stream_counters(i), i.ctx), i.sample)
 
 
 def stream_fight_features(i: Inputs) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -31,20 +31,31 @@ def _strings(*names: str) -> T.StructType:
 
 
 CURRENCY_KEYS = _strings("user_id", "concept", "currency")
-CURRENCY_SUMS = ("n", "n_in", "n_out")
+CURRENCY_COUNTS = ("n", "n_in", "n_out")
 FIGHT_KEYS = _strings("user_id", "char_id", "fight_type")
-FIGHT_SUMS = ("n", "n_won")
+FIGHT_COUNTS = ("n", "n_won")
+
+
+def _with_midnight(counts: tuple[str, ...]) -> tuple[str, ...]:
+    """Each count also over the rows of 00:00 sharp: the log window ends with that instant of its last day."""
+    return (*counts, *(f"midnight_{c}" for c in counts))
+
+
+def _counted(at: Column, **counts: Column) -> list[Column]:
+    sharp = at == F.date_trunc("day", at)
+    zero = F.lit(0).cast("bigint")
+    return [F.sum(c).alias(n) for n, c in counts.items()] + [
+        F.sum(F.when(sharp, c).otherwise(zero)).alias(f"midnight_{n}") for n, c in counts.items()
+    ]
 
 
 def daily_counters(log: DataFrame) -> DataFrame:
     """Counters of a prepared currency log."""
     return (
         log.groupBy("user_id", F.to_date("created_at").alias("day"), "concept", "currency")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(flag(F.col("quantity") > 0)).alias("n_in"),
-            F.sum(flag(F.col("quantity") < 0)).alias("n_out"),
-        )
+        .agg(*_counted(
+            F.col("created_at"), n=F.lit(1), n_in=flag(F.col("quantity") > 0), n_out=flag(F.col("quantity") < 0),
+        ))
     )
 
 
@@ -56,7 +67,7 @@ def daily_fights(log: DataFrame, owners: DataFrame) -> DataFrame:
     per_char = (
         log.where(F.col("player_id").isNotNull())
         .groupBy(F.col("player_id").alias("char_id"), F.to_date("start_time").alias("day"), "fight_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(flag(F.col("fight_winner") == 1.0)).alias("n_won"))
+        .agg(*_counted(F.col("start_time"), n=F.lit(1), n_won=flag(F.col("fight_winner") == 1.0)))
     )
     return owned_fights(per_char.withColumn("user_id", F.lit(None).cast("string")), owners)
 
@@ -68,7 +79,7 @@ def owned_fights(counters: DataFrame, owners: DataFrame) -> DataFrame:
     user = F.coalesce("user_id", "owner")
     return (
         looked.groupBy(user.alias("user_id"), F.when(user.isNull(), F.col("char_id")).alias("char_id"), "fight_type", "day")
-        .agg(F.sum("n").alias("n"), F.sum("n_won").alias("n_won"))
+        .agg(*[F.sum(c).alias(c) for c in _with_midnight(FIGHT_COUNTS)])
     )
 
 
@@ -82,11 +93,11 @@ def read_log_stream(
 
 
 def currency_table(spark: SparkSession, folder: str, keep_days: int | None = None, compact_every: int = 8) -> CounterTable:
-    return CounterTable(spark, folder, CURRENCY_KEYS, CURRENCY_SUMS, compact_every, keep_days)
+    return CounterTable(spark, folder, CURRENCY_KEYS, _with_midnight(CURRENCY_COUNTS), compact_every, keep_days)
 
 
 def fight_table(spark: SparkSession, folder: str, keep_days: int | None = None, compact_every: int = 8) -> CounterTable:
-    return CounterTable(spark, folder, FIGHT_KEYS, FIGHT_SUMS, compact_every, keep_days)
+    return CounterTable(spark, folder, FIGHT_KEYS, _with_midnight(FIGHT_COUNTS), compact_every, keep_days)
 
 
 def _start(raw_stream: DataFrame, fold: Callable[[DataFrame], DataFrame], table: CounterTable, checkpoint: str) -> StreamingQuery:
@@ -126,13 +137,12 @@ def run_fights(
     return table
 
 
-def _inside(table: CounterTable, ctx: RunContext) -> DataFrame:
-    """Counters of the log window, cut by whole days.
-
-    The window's last instant, 00:00 of the reference day, would need the log itself.
-    """
-    first = ctx.reference_date - timedelta(days=ctx.window_days)
-    return table.read(first, ctx.reference_date - timedelta(days=1))
+def _inside(table: CounterTable, ctx: RunContext, counts: tuple[str, ...]) -> DataFrame:
+    """Counters of the closed log window: whole days, and the first instant of the reference day."""
+    rows = table.read(ctx.reference_date - timedelta(days=ctx.window_days), ctx.reference_date)
+    last = F.col("day") == F.lit(ctx.reference_date)
+    inside = {c: F.when(last, F.col(f"midnight_{c}")).otherwise(F.col(c)) for c in counts}
+    return rows.withColumns(inside).where(F.col("n") > 0)
 
 
 def _per_dimension(counters: DataFrame, dims: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
@@ -148,11 +158,11 @@ def _per_dimension(counters: DataFrame, dims: tuple[str, ...], sums: tuple[str,
 
 def features_from_counters(table: CounterTable, ctx: RunContext) -> DataFrame:
     """The currency features of the log window, from the counters alone."""
-    sets = _per_dimension(_inside(table, ctx), ("concept", "currency", "day"), CURRENCY_SUMS)
+    sets = _per_dimension(_inside(table, ctx, CURRENCY_COUNTS), ("concept", "currency", "day"), CURRENCY_COUNTS)
     return currency_features(sets, ctx)
 
 
 def fights_from_counters(table: CounterTable, owners: DataFrame, ctx: RunContext) -> DataFrame:
     """The fight features of the log window, from the counters and the characters as they are now."""
-    owned = owned_fights(_inside(table, ctx), owners).where(F.col("user_id").isNotNull())
-    return fight_features(_per_dimension(owned, ("fight_type", "day"), FIGHT_SUMS))
+    owned = owned_fights(_inside(table, ctx, FIGHT_COUNTS), owners).where(F.col("user_id").isNotNull())
+    return fight_features(_per_dimension(owned, ("fight_type", "day"), FIGHT_COUNTS))
