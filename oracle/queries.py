@@ -167,6 +167,14 @@ DEFS["means"] = " UNION ALL ".join(
 )
 WANTS["means"] = ["cats", "draws"]
 
+# Folds by another draw, one row per labelled player and horizon.
+FOLD = "(('0x' || substr(md5('43:' || user_id), 1, 15))::BIGINT % 5)::INT"
+DEFS["folds"] = " UNION ALL ".join(
+    f"SELECT user_id, '{t}' AS target, {FOLD} AS fold, {t}::DOUBLE AS label FROM labels WHERE {t} IS NOT NULL"
+    for t in ("churn_7d", "churn_14d", "churn_30d")
+)
+WANTS["folds"] = ["labels"]
+
 # --- clean-up --------------------------------------------------------------------------------------------
 # Every master column as text (for shares) or number (for correlations), one row per player.
 DEFS["texts"] = """SELECT * FROM (SELECT COLUMNS(* EXCLUDE (user_id))::VARCHAR FROM m_churn)
@@ -425,6 +433,15 @@ ORACLE = {
     (SELECT avg(churn_30d) AS g FROM ({split('churn_30d')}) WHERE split = 'train')) GROUP BY user_id""",
                                 list(CATS)),
     "stratified_split": stmt(["draws"], split("churn_30d")),
+    "oof_folds": stmt(["folds"], "SELECT * FROM folds"),
+    "oof_encodings": stmt(["folds", "cats"], """SELECT target, k AS fold, "column", category, count(*) AS n,
+  (sum(label) + 10.0::DOUBLE * g) / (count(*) + 10.0::DOUBLE) AS encoded
+  FROM (SELECT unnest(range(5))::INT AS k) JOIN folds f ON f.fold <> k JOIN cats USING (user_id)
+  JOIN (SELECT target, j, avg(label) AS g FROM folds, (SELECT unnest(range(5))::INT AS j) WHERE fold <> j GROUP BY 1, 2) m
+    USING (target) WHERE m.j = k GROUP BY target, k, "column", category, g""", ["encoded"]),
+    "churn_splits": stmt(["draws"], " UNION ALL ".join(
+        f"SELECT '{t}' AS target, split, count(*) AS n, sum({t})::BIGINT AS positives FROM ({split(t)}) GROUP BY split"
+        for t in ("churn_7d", "churn_14d", "churn_30d"))),
     "cleanup_high_null": stmt(["shares"], """SELECT *, null_share > 0.95 AS dropped FROM shares""",
                               ["null_share"]),
     "cleanup_quasi_constant": stmt(["tops"], "SELECT * FROM tops WHERE top_share > 0.95",

@@ -10,8 +10,8 @@ from tidemark.operators import clusters
 from tidemark.operators.encode import TargetEncoder, fit_encoder
 from tidemark.operators.evaluate import evaluate, evaluate_each, score_ranks
 from tidemark.operators.models import (
-    ArchetypeModel, ChurnModels, ForestParams, align, evaluate_splits, fit_archetypes, fit_churn, fold_of,
-    out_of_fold,
+    ArchetypeModel, ChurnModels, ForestParams, align, encoded_columns, evaluate_splits, fit_archetypes, fit_churn,
+    fold_encoders, fold_frame, fold_of, out_of_fold,
 )
 from tidemark.operators.split import part_sizes, stratified_split
 
@@ -114,11 +114,21 @@ def test_churn_models(spark, tmp_path):
 
 def test_out_of_fold(spark):
     master, labels = training(spark)
-    rows = master.join(labels, "user_id")
-    got = by_key(out_of_fold(rows, "churn_30d", FEATS, folds=3, params=SMALL))
-    want = by_key(rows.select("user_id", fold_of(F.col("user_id"), 3).alias("fold")))
-    assert {k: v["fold"] for k, v in got.items()} == {k: v["fold"] for k, v in want.items()}
-    assert {v["fold"] for v in got.values()} == {0, 1, 2}
+    # Not every player has both labels.
+    known = F.crc32(F.col("user_id").cast("binary")) % 7 > 0
+    rows = master.join(labels, "user_id").withColumn("churn_7d", F.when(known, 1 - F.col("churn_30d")))
+    targets = ("churn_7d", "churn_30d")
+    got = out_of_fold(rows, targets, FEATS, folds=3, params=SMALL).collect()
+    want = {(r.user_id, r.target): r.fold for r in fold_frame(rows, targets, 3).collect()}
+    assert {(r.user_id, r.target): r.fold for r in got} == want and len(got) == len(want)
+    assert {r.fold for r in got} == {0, 1, 2} and all(0 <= r.p <= 1 for r in got)
+    # One forest by hand, with an encoder that has not seen the fold.
+    train = rows.where(fold_of(F.col("user_id"), 3) != 1)
+    encoder = fit_encoder(train, ["churn_30d"], encoded_columns(rows, FEATS))
+    alone, _ = fold_encoders(rows.withColumn("fold", fold_of(F.col("user_id"), 3)), targets, encoder.columns, 3)
+    key = lambda r: (r["column"], r["category"])
+    mine = {key(r): (r["n"], r["encoded"]) for r in alone.where("target = 'churn_30d' and fold = 1").collect()}
+    assert mine == {key(r): (r["n"], pytest.approx(r["encoded"])) for r in encoder.mappings.collect()}
 
 
 def test_archetypes(spark, tmp_path):

@@ -18,7 +18,7 @@ from tidemark.operators.encode import fit_encoder
 from tidemark.operators.evaluate import evaluate_each
 from tidemark.operators.logs import log_window
 from tidemark.operators.models import (
-    FOREST_30D, evaluate_splits, fit_archetypes, fit_churn, out_of_fold,
+    evaluate_splits, fit_archetypes, fit_churn, fold_encoders, fold_frame, fold_of, out_of_fold,
 )
 from tidemark.operators.reconcile import reconcile
 from tidemark.operators.sample import (
@@ -328,10 +328,34 @@ def feature_importance(i: Inputs) -> DataFrame:
 
 
 def oof_predictions(i: Inputs) -> DataFrame:
-    labels = i.labels().where(F.col("churn_30d").isNotNull())
+    """Out-of-fold scores of all three horizons."""
+    labels = i.labels().where(F.coalesce(*TARGETS).isNotNull())
     master = plans.churn_master(i.tables, i.ctx, rules=i.rules)
-    rows = stage(master.join(labels, "user_id"), "oof-rows")
-    return out_of_fold(rows, "churn_30d", params=FOREST_30D)
+    return out_of_fold(master.join(labels, "user_id"), TARGETS)
+
+
+def oof_folds(i: Inputs) -> DataFrame:
+    """The fold of every labelled player and horizon, and the encodings' support outside it."""
+    labels = i.labels()
+    return fold_frame(labels, TARGETS)
+
+
+def oof_encodings(i: Inputs) -> DataFrame:
+    """Encodings of the categories of all horizons and folds, without the fold's own players."""
+    rows = stage(_labelled(i).withColumn("fold", fold_of(F.col("user_id"))), "labelled")
+    return fold_encoders(rows, TARGETS, ENCODED_COLUMNS)[0]
+
+
+def churn_splits(i: Inputs) -> DataFrame:
+    """Rows and positives of every horizon's parts."""
+    rows = stage(i.labels().where(F.col("churn_7d").isNotNull()), "labels")
+    out = None
+    for t in TARGETS:
+        one = stratified_split(rows.select("user_id", t), t).groupBy("split").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(t).alias("positives")
+        ).select(F.lit(t).alias("target"), "split", "n", "positives")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def archetype_assign(i: Inputs) -> DataFrame:
@@ -489,6 +513,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "churn_fit_eval": churn_fit_eval,
     "feature_importance": feature_importance,
     "oof_predictions": oof_predictions,
+    "oof_folds": oof_folds,
+    "oof_encodings": oof_encodings,
+    "churn_splits": churn_splits,
     "archetype_assign": archetype_assign,
     "nearest_centroid": nearest_centroid,
     "cluster_quality": cluster_quality,
