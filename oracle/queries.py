@@ -475,6 +475,20 @@ ORACLE = {
     min(CASE WHEN own <> other THEN t / n END) AS bi FROM d JOIN sz ON sz.label = other GROUP BY vec_id)
   SELECT davies_bouldin, clusters, (SELECT avg((bi - ai) / greatest(ai, bi)) FROM sil) AS silhouette FROM db""",
                             ["davies_bouldin", "silhouette"]),
+    "archetype_assign": stmt(["f_sample", "f_characters", "f_collection", "f_items", "f_iaps", "f_devices"], """SELECT user_id, c.code AS archetype_n1,
+  power(a - c.x[1], 2) + power(b - c.x[2], 2) + power(d - c.x[3], 2) + power(e - c.x[4], 2) + power(f - c.x[5], 2)
+    + power(g - c.x[6], 2) + power(h - c.x[7], 2) AS distance
+  FROM (SELECT user_id, (coalesce(char_count, 0) - 10) / 5.0::DOUBLE AS a, (coalesce(char_level_max, 1) - 30) / 8.0::DOUBLE AS b,
+      (coalesce(coll_total_items, 0) - 40) / 20.0::DOUBLE AS d, (coalesce(items_mean_attack, 30000) - 36000) / 4000.0::DOUBLE AS e,
+      (coalesce(iap_is_payer, 0) - 0.5) / 0.5::DOUBLE AS f,
+      ((device_primary_platform IS NOT DISTINCT FROM 'android')::INT - 0.5) / 0.5::DOUBLE AS g,
+      ((device_primary_platform IS NOT DISTINCT FROM 'ios')::INT - 0.25) / 0.5::DOUBLE AS h
+    FROM f_sample LEFT JOIN f_characters USING (user_id) LEFT JOIN f_collection USING (user_id) LEFT JOIN f_items USING (user_id)
+      LEFT JOIN f_iaps USING (user_id) LEFT JOIN f_devices USING (user_id)) m,
+    (VALUES (0, [-1.5, -1.5, -1.5, 0.0, -1.0, 0.0, 0.0]::DOUBLE[]), (1, [0.0, 0.0, 0.0, 0.0, 1.0, 1.0, -0.5]),
+      (2, [1.0, 1.0, 1.0, 0.5, 1.0, 0.0, 0.0]), (3, [0.5, 0.5, 0.0, -0.5, -1.0, -1.0, 1.5]),
+      (4, [-0.5, -0.5, -0.5, 1.0, 0.0, -1.0, -0.5]), (5, [0.5, 1.0, 1.5, 0.0, 1.0, -1.0, 0.5])) c(code, x)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY distance, code) = 1""", ["distance"]),
     "drift_reconcile": stmt(["scores"], "SELECT * FROM scores", SCORE_DOUBLES),
     "risk_levels": stmt(["live"], f"""SELECT {uid('c')} AS user_id, {risk('p7')} AS risk_7d,
   {risk('p14')} AS risk_14d, {risk('p30')} AS risk_30d FROM live"""),

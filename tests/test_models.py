@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import by_key, oid, one
 from tidemark.operators import clusters
+from tidemark.operators.archetypes import CentroidArchetypes
 from tidemark.operators.encode import TargetEncoder, fit_encoder
 from tidemark.operators.evaluate import evaluate, evaluate_each, score_ranks
 from tidemark.operators.models import (
@@ -138,6 +139,14 @@ def test_archetypes(spark, tmp_path):
     assert {v["archetype_n1"] for v in got.values()} == {0, 1, 2}
     model.save(str(tmp_path))
     assert by_key(ArchetypeModel.load(spark, str(tmp_path), "k").assign(master)) == got
+    given = CentroidArchetypes.of(model)
+    given.save(spark, str(tmp_path))
+    loaded = CentroidArchetypes.load(spark, str(tmp_path), "k")
+    assert loaded == given and by_key(loaded.assign(master).drop("distance")) == got
+    unseen = master.limit(5).withColumns({"country": F.lit("nowhere"), "x": F.lit(None).cast("double")})
+    assert by_key(loaded.assign(unseen).drop("distance")) == by_key(model.assign(unseen))
+    with pytest.raises(ValueError, match="must have"):
+        CentroidArchetypes(given.document | {"centroids": [{"code": 7, "vector": [1.0]}]})
     quality = one(clusters.cluster_quality(model.transform(master), "vector", "archetype_n1"))
     assert quality["clusters"] == 3 and -1 <= quality["silhouette"] <= 1 and quality["davies_bouldin"] > 0
 

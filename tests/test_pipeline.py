@@ -173,4 +173,4 @@ def test_entry_contract():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     weak = set(registry.QUERIES) - set(entry.oracle_sql())
-    assert weak == {"churn_score", "churn_fit_eval", "feature_importance", "oof_predictions", "archetype_assign"}
+    assert weak == {"churn_score", "churn_fit_eval", "feature_importance", "oof_predictions", "archetype_fit"}

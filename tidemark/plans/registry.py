@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidemark.context import RunContext
 from tidemark.functions import diversity, ids
 from tidemark.operators import cleanup, clusters, report
+from tidemark.operators.archetypes import CentroidArchetypes
 from tidemark.operators.block import CHURN
 from tidemark.operators.characters import character_owners
 from tidemark.operators.encode import fit_encoder
@@ -359,6 +360,12 @@ def churn_splits(i: Inputs) -> DataFrame:
 
 
 def archetype_assign(i: Inputs) -> DataFrame:
+    """Archetypes by the centroids of a model document."""
+    model = CentroidArchetypes.packaged("given_archetypes.json")
+    return model.assign(plans.taste_master(i.tables, i.ctx, rules=i.rules, wanted=tuple(model.features)))
+
+
+def archetype_fit(i: Inputs) -> DataFrame:
     master = stage(i.master, "master")
     return fit_archetypes(master, "check").assign(master)
 
@@ -517,6 +524,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "oof_encodings": oof_encodings,
     "churn_splits": churn_splits,
     "archetype_assign": archetype_assign,
+    "archetype_fit": archetype_fit,
     "nearest_centroid": nearest_centroid,
     "cluster_quality": cluster_quality,
     "drift_reconcile": lambda i: i.scores,
