@@ -1,24 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a stream of tags and text. Every text node has a root-to-leaf path of its elements;
-text length and punctuation are added up per path and divided by the path's text nodes, smoothed over
-paths that share a parent, fused by a product and held against their deviation. The paths above it are
-content nodes; the element that holds them (or the article around it) is the main text, from which
-navigation, asides, adverts, forms and comments inside are left out.
+A page is read as a stream of tags and text. Elements that say what they are (navigation, asides, adverts,
+forms, comments) are left out. Every other text node has a root-to-leaf path of tags; text length and
+punctuation are added up per path and divided by the path's text nodes. Each path is smoothed with the best
+of the paths beside, above and below it and beside the one above, so that a heading or a short item stands by
+the paragraphs around it; both ratios are fused by a product and held against their deviation over the page. The text nodes of the
+paths above it are the main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+# A quote opens a value only after an equals sign; nothing is tried twice, so time grows with the page only.
+_TAG = re.compile(r"<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?>=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PUNCTUATION = ".,;:!?…。，！？"
 # Fixed values of HTML.
@@ -35,8 +38,10 @@ ROLES = frozenset("navigation banner complementary contentinfo search form dialo
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar|side|comments?|commentlist|repl(?:y|ies)|disqus|menu|nav|navbar|navigation|breadcrumbs?"
     r"|footer|masthead|topbar|header|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|subscribe|newsletter|share|sharing|social|related|recommend\w*|widget|login|signup|pagination|pager)(?:$|[\s_-])", re.I)
-#: Share of the selected text that the content element must hold, and the deviations that select a path.
-HOLDS, DEVIATIONS = 0.8, 1.0
+# Headings of an article are no page header.
+_OWN_HEADER = re.compile(r"(post|entry|article|story|content)[\s_-]+header", re.I)
+#: Deviations of the scores of a page that select a path, and the weight of a path's own ratios.
+DEVIATIONS, OWN = 0.5, 0.5
 
 
 def _apart(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -44,7 +49,7 @@ def _apart(tag: str, attributes: str, inside_article: bool) -> bool:
         return True
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.strip().lower() in ROLES or name in ("class", "id") and _HINT.search(value):
+        if name == "role" and value.strip().lower() in ROLES or name in ("class", "id") and _HINT.search(_OWN_HEADER.sub(r"\1", value)):
             return tag not in ("body", "html", "article", "main")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -52,17 +57,23 @@ def _apart(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 class Page:
-    """Elements and blocks of one page."""
+    """Elements, tag paths and blocks of one page."""
 
     def __init__(self, source: str):
-        # Per element: parent, path, whether it is apart from the main text; per block: element, text.
-        self.parent, self.tag, self.path, self.apart = [-1], [""], [""], [False]
+        # Per element: tag, path, block element around it, whether it is apart from the main text.
+        self.tag, self.path, self.around, self.apart = [""], [0], [0], [False]
+        # Paths are numbers; each but the first has a path above it.
+        self.above, self._paths = [-1], {}
         self.blocks: list[tuple[int, str]] = []
         self.stack, self.text, self.holder = [0], [], 0
-        at = 0
-        while m := _TAG.search(source, at):
+        self.open: Counter[str] = Counter()
+        at, last = 0, source.rfind(">") + 1
+        while m := _TAG.search(source, at, last):
             self._put(source[at : m.start()])
             at = m.end()
+            if m[0] == "<!--":
+                end = source.find("-->", at)
+                at = end + 3 if end >= 0 else len(source)
             if not m[2]:
                 continue
             tag = m[2].lower()
@@ -84,7 +95,7 @@ class Page:
     def _put(self, raw: str) -> None:
         if raw:
             if not self.text:
-                self.holder = next((e for e in reversed(self.stack) if self.tag[e] not in INLINE or self.apart[e] != self.apart[self.stack[0]]), 0)
+                self.holder = self.around[self.stack[-1]]
             self.text.append(html.unescape(raw) if "&" in raw else raw)
 
     def _flush(self) -> None:
@@ -94,94 +105,87 @@ class Page:
         self.text = []
 
     def _open(self, tag: str, attributes: str) -> None:
-        if tag in CLOSES_P and any(self.tag[e] == "p" for e in self.stack):
+        if tag in CLOSES_P and self.open["p"]:
             self._close("p")
-        if tag in SAME_CLOSES:
-            closing = SAME_CLOSES[tag].split()
+        closing = SAME_CLOSES.get(tag, "").split()
+        if any(self.open[c] for c in closing):
             for e in reversed(self.stack):
                 if self.tag[e] in closing:
                     self._close(self.tag[e])
                 elif self.tag[e] in SCOPES:
                     break
         top = self.stack[-1]
-        article = any(self.tag[e] in ("article", "main") for e in self.stack)
-        apart = self.apart[top] or _apart(tag, attributes, article)
-        if tag not in INLINE or apart != self.apart[top]:
+        apart = self.apart[top] or _apart(tag, attributes, bool(self.open["article"] or self.open["main"]))
+        inside = tag in INLINE and apart == self.apart[top]
+        if not inside:
             self._flush()
-        self.parent.append(top)
+        path = self.path[top]
+        if not inside:
+            path = self._paths.setdefault((path, tag), len(self.above))
+            if path == len(self.above):
+                self.above.append(self.path[top])
+        self.around.append(self.around[top] if inside else len(self.tag))
         self.tag.append(tag)
-        self.path.append(self.path[top] if tag in INLINE and apart == self.apart[top] else f"{self.path[top]}/{tag}")
+        self.path.append(path)
         self.apart.append(apart)
+        self.open[tag] += 1
         self.stack.append(len(self.tag) - 1)
 
     def _close(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.tag[self.stack[depth]] == tag:
-                edge = any(self.tag[e] not in INLINE for e in self.stack[depth:]) or self.apart[self.stack[-1]] != self.apart[self.stack[depth - 1]]
-                if edge:
+                gone = self.stack[depth:]
+                if any(self.around[e] == e for e in gone):
                     self._flush()
                 del self.stack[depth:]
+                self.open.subtract(self.tag[e] for e in gone)
                 return
             if tag in INLINE and self.tag[self.stack[depth]] not in INLINE:
                 return
 
 
-def path_scores(page: Page) -> dict[str, float]:
-    """Fused ratio per path that is not apart: text per node times punctuation per node, both smoothed."""
-    sums: dict[str, list[float]] = {}
+def path_scores(page: Page) -> dict[int, float]:
+    """Fused score per path that is not apart: text per node times punctuation per node, both smoothed."""
+    sums: dict[int, list[float]] = {}
     for element, text in page.blocks:
         if not page.apart[element]:
             s = sums.setdefault(page.path[element], [0, 0, 0])
             s[0] += len(text)
             s[1] += sum(map(text.count, PUNCTUATION))
             s[2] += 1
-    paths = list(sums)
-    ratios = np.array([[sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]] for p in paths]).reshape(-1, 2)
-    parents = [p.rpartition("/")[0] for p in paths]
-    smooth = ratios.copy()
-    for i in range(len(paths)):
-        near = [j for j in (i - 1, i + 1) if 0 <= j < len(paths) and parents[j] == parents[i]]
-        if near:
-            smooth[i] = 0.5 * ratios[i] + 0.5 * ratios[near].mean(axis=0)
-    return dict(zip(paths, (smooth[:, 0] * (1 + smooth[:, 1])).tolist(), strict=True))
-
-
-def main_text(source: str | None) -> str:
+    ratios = {p: (length / n, marks / n) for p, (length, marks, n) in sums.items()}
+    best_below: dict[int, tuple[float, float]] = {}
+    for p, own in ratios.items():
+        best_below[page.above[p]] = tuple(map(max, own, best_below.get(page.above[p], own)))
+    out = {}
+    for p, own in ratios.items():
+        up = page.above[p]
+        held = best_below.get(up), ratios.get(up), best_below.get(p), best_below.get(page.above[up]) if up > 0 else None
+        near = [own, *(x for x in held if x)]
+        length, marks = (OWN * x + (1 - OWN) * max(y) for x, y in zip(own, zip(*near, strict=True), strict=True))
+        out[p] = length * (1 + marks)
+    return out
+
+
+def main_text(source: str | None, score: Callable[[Page], dict[int, float]] = path_scores) -> str:
     """The main text of a page; empty for an empty page or one without text."""
     page = Page(source or "")
-    scores = path_scores(page)
+    scores = score(page)
     if not scores:
         return ""
     values = np.array(list(scores.values()))
-    limit = min(DEVIATIONS * values.std() if len(values) > 1 else 0.0, values.max())
-    content = {p for p, v in scores.items() if v >= limit}
-    chosen = [(e, len(t)) for e, t in page.blocks if not page.apart[e] and page.path[e] in content]
-    held: dict[int, int] = {}
-    for element, size in chosen:
-        while element >= 0:
-            held[element] = held.get(element, 0) + size
-            element = page.parent[element]
-    need = HOLDS * sum(size for _, size in chosen)
-    root = max(e for e, size in held.items() if size >= need)  # the deepest, as elements are numbered in order
-    up = root
-    while up > 0:
-        if page.tag[up] in ("article", "main"):
-            root = up
-            break
-        up = page.parent[up]
-    inside = {root}
-    for e in range(root + 1, len(page.parent)):
-        if page.parent[e] in inside:
-            inside.add(e)
-    narrow = page.tag[root] in ("article", "main") or root > 0 and page.tag[root] not in ("body", "html")
-    return " ".join(t for e, t in page.blocks if e in inside and not page.apart[e] and (narrow or page.path[e] in content))
+    limit = min(DEVIATIONS * float(values.std()), float(values.max()))
+    return " ".join(text for e, text in page.blocks if not page.apart[e] and scores[page.path[e]] >= limit)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) per row: white space in a block is one blank, blocks are joined by one.
 
     A null or empty page, and one without main text, give an empty text; ids and urls may be null, and
-    repeated rows give repeated results.
+    repeated rows give repeated results. Very long pages are read whole, in time that grows with their length;
+    equal scores are selected alike. Other columns are ignored whatever their names; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
