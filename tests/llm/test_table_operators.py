@@ -113,6 +113,43 @@ def test_vector_links_match_brute_force(spark, tile, monkeypatch):
     assert pca_tiles.near_duplicates(make_vectors(spark, [])).count() == 0
 
 
+def plain_links(rows):
+    """{place: (n_links, component)} of (id, vector, label) by all pairs."""
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, x, lx) in enumerate(rows):
+        for j, (_, y, ly) in enumerate(rows[:i]):
+            if lx is not None and lx == ly and len(x) == len(y) and np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.93:
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    least = {}
+    for i, (vec_id, _, _) in enumerate(rows):
+        least[find(i)] = min(vec_id, least.get(find(i), vec_id))
+    return sorted((vec_id, links[i], least[find(i)]) for i, (vec_id, _, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "boolean", "decimal(9, 2)", "string"])
+def test_repeated_ids_many_dimensions_and_any_label(spark, kind):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(160):
+        dim = 2 + i % 70
+        x = np.ones(dim) + rng.normal(size=dim) * 0.4
+        rows.append((i % 90, x.tolist(), [0, 1, None][i % 3] if i % 5 else 0))
+    rows += [(5, rows[0][1], 0), (5, rows[0][1], 1), (5, rows[0][1], 1), (3, rows[4][1], 1)]
+    label = {"double": "cast(label AS double)", "date": "date_add(date'2020-01-01', label)", "boolean": "label = 1", "decimal(9, 2)": "cast(label AS decimal(9, 2))", "string": "cast(label AS string)"}[kind]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id bigint, embedding array<double>, label int, node int, kept int")
+    got = pca_tiles.near_duplicates(df.withColumn("label", F.expr(label))).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == plain_links(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
 def bilingual(n, seed):
     rng = random.Random(seed)
     stock = {"en": ["the", "of", "and", "river", "stone"], "de": ["der", "und", "von", "fluss", "stein"]}
