@@ -120,4 +120,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB statements; the other queries are tested against brute force.
-ORACLE: dict[str, str] = {"op11_merkle": sql.MERKLE, "op12_chat": sql.CHAT, "op13_collocations": sql.COLLOCATIONS}
+ORACLE: dict[str, str] = {"op9_pca_tiles": sql.TILES, "op11_merkle": sql.MERKLE, "op12_chat": sql.CHAT, "op13_collocations": sql.COLLOCATIONS}

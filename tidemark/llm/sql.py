@@ -163,3 +163,24 @@ SELECT w.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_c
   CAST(w.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars
 FROM whole w LEFT JOIN repeated r ON r.conv_id IS NOT DISTINCT FROM w.conv_id
 """
+
+TILES = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, label, embedding::DOUBLE[] AS e,
+    coalesce(vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+      AND list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS fits
+  FROM embeddings
+), links AS (
+  SELECT a.k, b.k AS other FROM v a JOIN v b ON a.label = b.label AND a.k <> b.k AND a.fits AND b.fits
+   AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT k, k AS other FROM v
+  UNION
+  SELECT r.k, l.other FROM reach r JOIN links l ON l.k = r.other
+), roots AS (
+  SELECT r.k, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.k = r.other GROUP BY r.k
+)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.k = v.k) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v JOIN roots USING (k)
+"""
