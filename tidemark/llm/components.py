@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
 
-#: Stars halve the longest path each time, so this is reached by no graph that fits a cluster.
+#: Stars halve the longest path each time, so this is reached by no graph that fits a cluster; it is an error.
 ROUNDS = 60
 
 
@@ -38,5 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
             links = after
             break
         links = after
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(roots)

@@ -158,10 +158,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
                 shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
                 for seed in (0, 1):
                     least[seed].append(min(xxhash.xxh64_intdigest(x, seed) for x in shingles) >> 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(h, pa.int64()) for h in least)], ["text", "toxic", "h0", "h1"])
-
-    marked = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(hashed, "text string, toxic int, h0 bigint, h1 bigint")
-    return stage(marked.dropDuplicates(["h0"]).dropDuplicates(["h1"]).select("text", "toxic"), "toxic-sample")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(h, pa.int64()) for h in least)], ["text", "toxic", "id", "h0", "h1"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    marked = rows.select("text", F.col("toxic").cast("int").alias("toxic"), "id").mapInArrow(hashed, f"text string, toxic int, id {kind}, h0 bigint, h1 bigint")
+    # The least id stands for near copies, however the rows are dealt.
+    first = marked.groupBy("h0").agg(F.min(F.struct("id", "h1", "text", "toxic")).alias("r")).select("r.*")
+    first = first.groupBy("h1").agg(F.min(F.struct("id", "text", "toxic")).alias("r")).select("r.text", "r.toxic")
+    return stage(first, "toxic-sample")
 
 
 def fit(sample: DataFrame) -> ToxicChain:
