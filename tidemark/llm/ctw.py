@@ -31,7 +31,7 @@ END = "\n"
 #: Context bytes (3 to 6), and how often training text has a context that stands in the tree.
 DEPTH, LEAST = 6, 2
 #: Context bytes that the driver weighs, windows that a task works on at once, and windows that are broadcast.
-TOP, CHUNK, HOT_WINDOWS = 2, 60_000, 1_000_000
+TOP, CHUNK, HOT_WINDOWS = 2, 60_000, 300_000
 #: Words with at least this share of all training words are broadcast with their counts.
 HOT_WORDS = 1 / 262_144
 _LOG_PI, _LOG_2 = math.log(math.pi), math.log(2)
@@ -289,12 +289,14 @@ def probabilities(windows: DataFrame, depth: int = DEPTH, least: int = LEAST) ->
 
     handed = together(windows.where("learnt > 0").select(near, "gram", "learnt")).mapInArrow(weigh, "key bigint, split double, zero double, one double")
     # At most 255 nodes, and 256 bytes, of each context of TOP bytes.
-    handed = handed.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("split", "zero", "one"))).toPandas().sort_values("key")
-    short = windows.where("learnt > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("gram")).agg(F.sum("learnt").alias("n")).toPandas()
-    gram = short["gram"].to_numpy(np.int64)
-    under = handed["key"].to_numpy(np.int64), *(handed[c].to_numpy(np.float64) for c in ("split", "zero", "one"))
-    upper = Levels(0, TOP, _latest_first(gram >> 8, TOP), gram & 255, short["n"].to_numpy(np.float64), under, least)
+    handed = handed.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("split", "zero", "one"))).toArrow().sort_by("key")
+    short = windows.where("learnt > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("gram")).agg(F.sum("learnt").alias("n")).toArrow()
+    gram = short.column("gram").to_numpy()
+    under = tuple(handed.column(c).to_numpy() for c in ("key", "split", "zero", "one"))
+    upper = Levels(0, TOP, _latest_first(gram >> 8, TOP), gram & 255, short.column("n").to_numpy().astype(np.float64), under, least)
     shipped = windows.sparkSession.sparkContext.broadcast(upper)
+    # The driver needs none of this any more; the broadcast is kept in a file.
+    del handed, short, gram, under, upper
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, gram, seen, learnt in _chunks(batches):
@@ -318,9 +320,10 @@ def window_scores(rows: DataFrame, table: DataFrame, depth: int = DEPTH, hot_win
             break
         edge = r["size"]
     is_hot = F.floor(F.log2("seen") * 8) >= F.lit(edge)
-    hot = table.where(is_hot).select("gram", "log10").toPandas()  # at most ``hot_windows`` rows
-    order = np.argsort(hot["gram"].to_numpy(np.int64))
-    shipped = rows.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(np.int64)[order], hot["log10"].to_numpy(np.float64)[order]))
+    hot = table.where(is_hot).select("gram", "log10").toArrow()  # at most ``hot_windows`` rows of 16 bytes
+    order = np.argsort(hot.column("gram").to_numpy())
+    shipped = rows.sparkSession.sparkContext.broadcast((hot.column("gram").to_numpy()[order], hot.column("log10").to_numpy()[order]))
+    del hot, order
     end = END.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +366,8 @@ def score(
     """One row per row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte).
 
     Rows whose crc32(doc_id) mod ``folds`` is ``fold`` teach nothing; a null id is never held out. A null
-    text is empty and has one token, the end. Rows that agree in id and text are one row of the result.
+    text is empty and has one token, the end. Rows that agree in id and text share their scores and have a row
+    each. Very long texts are scored whole; other columns are ignored whatever their names.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), blank(text).alias("text"), held_out(doc_id, folds, fold).alias("held_out"), row_key(doc_id, text).alias("row_key"))
     learn = rows.where(~F.col("held_out")).select("text")
@@ -399,7 +403,8 @@ def score(
         F.sum(F.when(marker, 0).otherwise(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("known"),
         F.sum(F.when(marker, 0.0).otherwise(F.col("n") * unknown)).alias("base"), F.sum("score").alias("score"),
     )
-    return summed.select(
+    each = summed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(
         "doc_id", "own.held_out", "own.n_tokens", (F.col("own.n_known") + (F.col("known") / F.col("copies")).cast("long")).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"), (F.col("own.base") + F.col("base") / F.col("copies")).alias("base_score"),
         (F.col("score") / F.col("copies")).alias("score"), "own.n_bytes", (-F.col("score") / F.col("copies") / F.lit(math.log10(2)) / F.col("own.n_bytes")).alias("bits_per_byte"),
