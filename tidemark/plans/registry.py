@@ -302,7 +302,7 @@ def eval_metrics(i: Inputs) -> DataFrame:
     return evaluate_each(both, {t: (f"churn_prob_{days}d", t) for t, days in HORIZONS.items()})
 
 
-def _fitted(i: Inputs, targets=TARGETS, calibrate=False):
+def fitted(i: Inputs, targets=TARGETS, calibrate=False):
     labels = i.labels().where(F.col("churn_7d").isNotNull())
     master = stage(plans.churn_master(i.tables, i.ctx, rules=i.rules), "master")
     models, rows = fit_churn(master, labels, "check", targets, calibrate=calibrate)
@@ -310,17 +310,17 @@ def _fitted(i: Inputs, targets=TARGETS, calibrate=False):
 
 
 def churn_score(i: Inputs) -> DataFrame:
-    master, models, _ = _fitted(i, calibrate=True)
+    master, models, _ = fitted(i, calibrate=True)
     return models.score(master)
 
 
 def churn_fit_eval(i: Inputs) -> DataFrame:
-    _, models, rows = _fitted(i)
+    _, models, rows = fitted(i)
     return evaluate_splits(models, rows)
 
 
 def feature_importance(i: Inputs) -> DataFrame:
-    _, models, _ = _fitted(i)
+    _, models, _ = fitted(i)
     out = None
     for t in TARGETS:
         one = models.importances(i.spark, t).withColumn("target", F.lit(t))
