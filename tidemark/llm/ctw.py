@@ -31,7 +31,7 @@ END = "\n"
 #: Context bytes (3 to 6), and how often training text has a context that stands in the tree.
 DEPTH, LEAST = 6, 2
 #: Context bytes that the driver weighs, windows that a task works on at once, and windows that are broadcast.
-TOP, CHUNK, HOT_WINDOWS = 2, 60_000, 300_000
+TOP, CHUNK, HOT_WINDOWS = 2, 60_000, 2_000_000
 #: Words with at least this share of all training words are broadcast with their counts.
 HOT_WORDS = 1 / 262_144
 _LOG_PI, _LOG_2 = math.log(math.pi), math.log(2)
@@ -320,7 +320,7 @@ def window_scores(rows: DataFrame, table: DataFrame, depth: int = DEPTH, hot_win
             break
         edge = r["size"]
     is_hot = F.floor(F.log2("seen") * 8) >= F.lit(edge)
-    hot = table.where(is_hot).select("gram", "log10").toArrow()  # at most ``hot_windows`` rows of 16 bytes
+    hot = table.where(is_hot).select("gram", "log10").toArrow()  # at most ``hot_windows`` rows of 16 bytes, as Arrow: rows of Python objects would be far larger
     order = np.argsort(hot.column("gram").to_numpy())
     shipped = rows.sparkSession.sparkContext.broadcast((hot.column("gram").to_numpy()[order], hot.column("log10").to_numpy()[order]))
     del hot, order
