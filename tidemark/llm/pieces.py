@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Merged stretches that a worker remembers, and the length from which a heap finds the next merge.
-REMEMBERED, LONG = 800_000, 96
+REMEMBERED, LONG = 300_000, 96
 
 
 class CharacterMap:
