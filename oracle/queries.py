@@ -385,13 +385,13 @@ ORACLE = {
   FROM (SELECT DISTINCT schema FROM (VALUES {declared_values()}) t(place, schema, col, req)) WHERE schema NOT IN
     (SELECT schema FROM ({matched(REPORT_HEADERS)}) WHERE schema IS NOT NULL)) r
   LEFT JOIN ({row_counts(REPORT_HEADERS)}) USING (file)""", ["score"]),
-    "referential_subset": stmt(["cons", "subs", "line", "ord"], f"""SELECT * FROM (
+    "referential_subset": stmt(["cons", "subs", "line", "ord", "currency"], f"""SELECT * FROM (
   SELECT 'users' AS "table", count(*) AS n_rows FROM ({FIRST_USERS})
   {" ".join(f"UNION ALL SELECT '{n}', count(*) FROM {t} WHERE {k} IN ({FIRST_USERS})" for n, t, k in (
       ("characters", "ord", "c"), ("devices", "ord", "c"), ("iaps_consumables", "cons", "c"),
       ("iaps_subscriptions", "subs", "c"), ("daily_rewards", "ord", "c"), ("user_items", "line", "c"),
       ("user_items_collection", "line", "c"), ("support_feedback", "events", "user_id"),
-      ("currency_transactions", "events", "user_id"), ("fights_log", "line", "c")))}
+      ("currency_transactions", "currency", "c"), ("fights_log", "line", "c")))}
   UNION ALL SELECT 'arena_log', count(*) FROM line WHERE l_returnflag = 'R' AND c IN ({FIRST_USERS}))"""),
     "reference_date": stmt(["tm"], "SELECT ref::DATE AS reference_date FROM tm"),
     "sample_derive": feature("f_sample"),
