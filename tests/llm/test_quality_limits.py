@@ -21,3 +21,11 @@ def test_a_rare_language_and_short_texts_have_their_own_thresholds(spark, monkey
     assert sum(got[i].kept for i in range(6_000, 6_400)) >= 390
     assert sum(got[i].kept for i in range(6_400, 7_400)) >= 980
     assert not got[7_400].kept and got[7_401].kept
+
+
+def test_all_trusted_rows_train_or_judge(spark):
+    rows = [(i, f"text {i}", "en") for i in range(25_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(25_000)], "doc_id bigint, quality int, toxic int")
+    got = [r.train for r in kneser_ney.trusted_rows(docs, labels).collect()]
+    assert len(got) == 25_000 and 4_500 < got.count(False) < 5_500

@@ -6,7 +6,7 @@ occurs anywhere is built order by order through joins sharded on the window and
 meet these probabilities by window: the windows with at least ``HOT_SHARE`` of all occurrences are
 broadcast (at most 1/HOT_SHARE), the others are joined as (row, window, count) rows, so every window of
 every text counts. A text's perplexity per byte is held against a quantile of its language, learnt
-from all trusted rows that did not train the model.
+from the fifth of all trusted rows that did not train the model.
 """
 
 from __future__ import annotations
@@ -24,9 +24,8 @@ from tidemark.llm.grams import WindowCounter, batches_of
 
 ORDER = 4
 HOT_SHARE = 1 / 262_144
-#: Trusted rows expected to train the model at most, half of them dealt evenly over the languages. A fifth of all trusted
-#: rows is set aside; these and all others that do not train set the thresholds.
-TRUSTED_ROWS, SET_ASIDE = 20_000, 5
+#: A fifth of all trusted rows is set aside and sets the thresholds; all others train the model.
+SET_ASIDE = 5
 #: The quantile of trusted perplexity, and the factor above it from which a text is rejected. A language
 #: with fewer rows than LEAST_ROWS uses the quantile over all languages.
 QUANTILE, MARGIN, LEAST_ROWS = 0.99, 1.15, 50
@@ -37,20 +36,12 @@ RANKS = 100_000
 PAD, END = b"\n", b"\x00"
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label_id: str = "doc_id", lang: str = "lang", bound: int = TRUSTED_ROWS) -> DataFrame:
-    """(trusted_id, train): all ids labelled quality 1 and not toxic; about ``bound`` of them, chosen by hash, train."""
+def trusted_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label_id: str = "doc_id") -> DataFrame:
+    """(trusted_id, train): all ids labelled quality 1 and not toxic; all that are not set aside, by hash, train."""
     clean = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col(label_id).isNotNull())
-    known = docs.select(F.col(doc_id).alias("trusted_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("of"))
-    ids = clean.select(F.col(label_id).alias("trusted_id")).distinct().join(known, "trusted_id").groupBy("trusted_id").agg(F.min("of").alias("of"))
-    ids = stage(ids, "kn-trusted")
-    sizes = ids.groupBy("of").agg(F.count("*").alias("n"))
-    whole = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("languages")).first()
-    rate = F.lit(1.0)
-    if (whole["n"] or 0) > bound:
-        rate = F.lit(bound / 2 / whole["n"]) + F.lit(bound / 2 / whole["languages"]) / F.col("n")
-    drawn = F.pmod(F.xxhash64("trusted_id"), F.lit(1 << 30)) < rate * F.lit(1 << 30)
-    rated = ids.join(F.broadcast(sizes), "of")  # one row per language
-    return rated.select("trusted_id", ((F.pmod(F.hash("trusted_id"), F.lit(SET_ASIDE)) != 0) & drawn).alias("train"))
+    known = docs.select(F.col(doc_id).alias("trusted_id"))
+    ids = clean.select(F.col(label_id).alias("trusted_id")).distinct().join(known, "trusted_id", "left_semi")
+    return ids.select("trusted_id", (F.pmod(F.hash("trusted_id"), F.lit(SET_ASIDE)) != 0).alias("train"))
 
 
 def count_windows(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -166,8 +157,8 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     the threshold of all languages; without any trusted row everything is kept. Short texts (up to
     LEAST_BYTES bytes) have thresholds of their own, and none if too few trusted ones are as short.
     """
-    ids = stage(trusted_rows(docs, labels, doc_id, lang=lang), "kn-trusted-rows")
-    learnt = F.broadcast(ids.where("train"))  # TRUSTED_ROWS rows are expected at most
+    ids = stage(trusted_rows(docs, labels, doc_id, "doc_id"), "kn-trusted-rows")
+    learnt = ids.where("train")  # grows with the labels, so it is broadcast by its size only
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), blank(text).alias("text"), F.xxhash64(row_key(doc_id, text), F.col(lang)).alias("row_key"))
     rows = rows.join(learnt, rows["doc_id"] == learnt["trusted_id"], "left").withColumn("train", F.coalesce("train", F.lit(False)))
     table = probabilities(stage(count_windows(rows), "kn-windows"))
