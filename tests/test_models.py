@@ -1,12 +1,13 @@
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import by_key, oid, one
-from tidemark.operators import clusters
+from tidemark.operators import clusters, models as fitting
 from tidemark.operators.archetypes import CentroidArchetypes
 from tidemark.operators.encode import TargetEncoder, fit_encoder
 from tidemark.operators.evaluate import evaluate, evaluate_each, score_ranks
@@ -15,6 +16,7 @@ from tidemark.operators.models import (
     fold_encoders, fold_frame, fold_of, out_of_fold,
 )
 from tidemark.operators.split import part_sizes, stratified_split
+from tidemark.sources.staging import stage
 
 SMALL = ForestParams(trees=5, depth=4)
 
@@ -239,3 +241,22 @@ def test_split_of_many_labels_and_null(spark):
         assert sizes[(label, "test")] == test
         assert sizes[(label, "val")] == val
         assert sizes[(label, "train")] == 20 - test - val
+
+
+def test_training_rows_are_dealt_over_the_cores(spark):
+    rows = stage(spark.range(12_000).select(F.col("id").cast("string").alias("user_id")).coalesce(1), "one-file")
+    dealt = fitting.spread(rows)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.distinct().count() == 12_000
+    assert fitting.spread(rows.where("user_id < '2'").limit(100)).rdd.getNumPartitions() == 1
+
+
+def test_the_forests_of_all_targets_are_fitted_side_by_side(spark, monkeypatch):
+    together, fit = threading.Barrier(3, timeout=120), fitting._fit_encoded
+    monkeypatch.setattr(fitting, "_fit_encoded", lambda *a: (together.wait(), fit(*a))[1])
+    rng = random.Random(5)
+    rows = [(oid(i), rng.choice(["ES", "FR"]), float(i % 7)) for i in range(120)]
+    master = spark.createDataFrame(rows, "user_id string, country string, gold double")
+    targets = ("a", "b", "c")
+    labels = spark.createDataFrame([(oid(i), *(int(i % 7 > k) for k in (1, 3, 5))) for i in range(120)], "user_id string, a int, b int, c int")
+    models, _ = fit_churn(master, labels, "v", targets, ("country", "gold"), {t: ForestParams(trees=2, depth=2) for t in targets})
+    assert list(models.forests) == list(models.fills) == list(targets)
