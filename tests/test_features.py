@@ -2,10 +2,12 @@ import pytest
 from pyspark.errors import PySparkException
 
 from tests.conftest import by_key, oid, one
+from tidemark.operators import characters, collection, items
 from tidemark.operators.block import BOTH, CHURN, TASTE
 from tidemark.operators.characters import character_owners
 from tidemark.operators.sample import churn_labels, derive_sample, run_context
 from tidemark.plans import master as plans
+from tidemark.rules import RuleBook
 from tidemark.sources.canonical import Tables
 
 USERS = "_id string, created_at string, last_login_date double, country string"
@@ -294,3 +296,24 @@ def test_one_player_owns_a_third_of_the_rows(tables, ctx, spark):
     plan = built._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert "item_definition_excel_id" in exchanges[-1] and "partial_" in plan
+
+
+def test_wide_rollups_send_their_rows_once(tables, ctx):
+    """Items and collections are dealt as rows, not as rollups of one row each; characters travel in one exchange."""
+    at = "2025-06-01 00:00:00"
+    t = tables(
+        user_items=([(oid(1), i % 7, at) for i in range(20)], "user_id string, item_definition_excel_id int, created_at string"),
+        user_items_collection=([(oid(1), i * 50, at) for i in range(20)], "user_id string, item_definition_excel_id int, created_at string"),
+        characters=([(oid(i), oid(1), i % 3, at) for i in range(5)], "_id string, user_id string, class int, created_at string"),
+    )
+    built = {b.name: b.build(t, ctx, RuleBook(), CHURN) for b in (items.BLOCK, collection.BLOCK, characters.BLOCK)}
+    for name, df in built.items():
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        dealt = [x for x in lines if "Exchange hashpartitioning" in x]
+        assert len(dealt) == (1 if name == "characters" else 2), name
+        if name != "characters":
+            below = lines[max(i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x):]
+            assert not any("Aggregate" in x for x in below), name
+    assert one(built["items"])["items_unique_definitions"] == 7
+    assert one(built["collection"])["coll_unique_families"] == 10
+    assert one(built["characters"])["char_classes_unique"] == 3
