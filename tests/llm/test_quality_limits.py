@@ -29,3 +29,13 @@ def test_all_trusted_rows_train_or_judge(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(25_000)], "doc_id bigint, quality int, toxic int")
     got = [r.train for r in kneser_ney.trusted_rows(docs, labels).collect()]
     assert len(got) == 25_000 and 4_500 < got.count(False) < 5_500
+
+
+def test_ids_that_are_shuffled_give_the_same_verdicts(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices(["ta", "ko", "ri"], k=3)) for _ in range(20)), "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    near = {r.doc_id: (round(r.perplexity, 9), r.kept) for r in kneser_ney.classify(docs, labels).collect()}
+    monkeypatch.setattr(kneser_ney, "BROADCAST_IDS", 0)
+    assert {r.doc_id: (round(r.perplexity, 9), r.kept) for r in kneser_ney.classify(docs, labels).collect()} == near

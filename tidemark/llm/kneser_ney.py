@@ -26,6 +26,8 @@ ORDER = 4
 HOT_SHARE = 1 / 262_144
 #: A fifth of all trusted rows is set aside and sets the thresholds; all others train the model.
 SET_ASIDE = 5
+#: So many ids of training rows are broadcast at most, counted first; beyond, texts are shuffled to meet them.
+BROADCAST_IDS = 5_000_000
 #: The quantile of trusted perplexity, and the factor above it from which a text is rejected. A language
 #: with fewer rows than LEAST_ROWS uses the quantile over all languages.
 QUANTILE, MARGIN, LEAST_ROWS = 0.99, 1.15, 50
@@ -158,7 +160,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     LEAST_BYTES bytes) have thresholds of their own, and none if too few trusted ones are as short.
     """
     ids = stage(trusted_rows(docs, labels, doc_id, "doc_id"), "kn-trusted-rows")
-    learnt = ids.where("train")  # grows with the labels, so it is broadcast by its size only
+    learnt = ids.where("train")
+    if learnt.count() <= BROADCAST_IDS:
+        learnt = F.broadcast(learnt)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), blank(text).alias("text"), F.xxhash64(row_key(doc_id, text), F.col(lang)).alias("row_key"))
     rows = rows.join(learnt, rows["doc_id"] == learnt["trusted_id"], "left").withColumn("train", F.coalesce("train", F.lit(False)))
     table = probabilities(stage(count_windows(rows), "kn-windows"))
