@@ -65,3 +65,39 @@ def test_rare_contexts_of_a_large_corpus_stand_in_the_tree(spark):
     got = {r.doc_id: r.score for r in ctw.score(docs, folds=10**9, fold=10**8).collect()}[len(texts) - 1]
     data = np.frombuffer(b"\n" * ctw.DEPTH + words[0].encode() + b"\n", np.uint8)
     assert math.isclose(got, whole_tree(texts, ctw.DEPTH, 2).logs(data).sum(), rel_tol=1e-3)
+
+
+def test_a_window_table_finds_what_it_holds_and_texts_share_no_windows():
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, 1 << 56, 5_000))
+    for n in (0, 1, 7, 4_000):
+        table = ctw.WindowTable(grams[:n], np.arange(n) / 2)
+        at = table.find(grams.view(np.uint64))
+        assert (at[:n] >= 0).all() and (at[n:] < 0).all() and (table.values[at[:n]] == np.arange(n) / 2).all()
+    texts, pad = [b"x\n", b"abcdefghij" * 5 + b"\n", b"\n", b"yz\n"], b"\n" * 6
+    want = [(i, int.from_bytes((pad + t)[k : k + 7], "big")) for i, t in enumerate(texts) for k in range(len(t))]
+    for size in (1, 9, 10_000):
+        got = [(int(i), int(g)) for owner, grams in ctw._windows(texts, pad, size) for i, g in zip(owner, grams, strict=True)]
+        assert got == want
+
+
+def test_window_rows_travel_together(spark, monkeypatch):
+    """Rows of windows that are not broadcast leave a task in batches of many texts, not in one batch a text."""
+    sent = []
+    real = ctw.batches_of
+    monkeypatch.setattr(ctw, "batches_of", lambda names, *columns: sent.append(len(columns[0])) or real(names, *columns))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts_of(100))], "row_key bigint, text string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, run, schema: [*run(iter(df.toArrow().to_batches()))] and spark.createDataFrame([], schema))
+    ctw.window_scores(rows, spark.createDataFrame([], "gram bigint, seen bigint, log10 double"))
+    assert len(sent) <= 8 and sum(sent) > 1_000
+
+
+def test_windows_are_counted_in_training_and_in_all_text(spark):
+    """A window is counted in all text and in training text, also where both have it."""
+    rows = spark.createDataFrame([("the same words", False), ("the same words", True), ("others", True)], "text string, held_out boolean").coalesce(1)
+    counted = ctw.count_windows(rows)
+    found = {r.gram: (r.seen, r.learnt) for r in counted.collect()}
+    data = b"\n" * 6 + b"the same words\n"
+    for i in range(len(data) - 6):
+        assert found[int.from_bytes(data[i : i + 7], "big")] == (2, 1)
+    assert sorted(set(found.values())) == [(1, 0), (2, 1)]

@@ -17,6 +17,7 @@ its probability, which texts meet by window: the most frequent ones are broadcas
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ DEPTH, LEAST = 6, 2
 #: Context bytes that the driver weighs, windows that a task works on at once, and windows that are broadcast.
 TOP, CHUNK, HOT_WINDOWS = 2, 60_000, 2_000_000
 #: Words with at least this share of all training words are broadcast with their counts.
-HOT_WORDS = 1 / 262_144
+HOT_WORDS = 1 / 1_048_576
 _LOG_PI, _LOG_2 = math.log(math.pi), math.log(2)
 
 
@@ -237,20 +238,27 @@ def count_windows(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     pad = END.encode() * depth
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = WindowCounter(depth + 1), WindowCounter(depth + 1)
-
-        def drained(which: int) -> Iterator[pa.RecordBatch]:
-            keys, n = both[which].drain()
-            yield from batches_of(["gram", "seen", "learnt"], keys.view(np.int64), n, np.zeros_like(n) if which else n)
+        counter = WindowCounter(depth + 1)
+
+        def drained() -> Iterator[pa.RecordBatch]:
+            keys, n = counter.drain()
+            at, mark = 0, np.uint64(1)
+            while at < len(keys):
+                end = min(at + 500_000, len(keys))
+                end += int(end < len(keys) and keys[end] >> mark == keys[end - 1] >> mark)
+                part, counted = keys[at:end], n[at:end]
+                gram = (part >> mark).view(np.int64)
+                first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+                learnt = np.add.reduceat(np.where(part & mark, 0, counted), first)
+                yield from batches_of(["gram", "seen", "learnt"], gram[first], np.add.reduceat(counted, first), learnt)
+                at = end
 
         for batch in batches:
             for t, out in zip(batch.column(0), batch.column(1), strict=True):
-                both[out.as_py()].add(b" ".join(words_of(t.as_py())) + END.encode(), pad)
-            for which in (0, 1):
-                if both[which].full():
-                    yield from drained(which)
-        yield from drained(0)
-        yield from drained(1)
+                counter.add(b" ".join(words_of(t.as_py())) + END.encode(), pad, int(out.as_py()))
+            if counter.full():
+                yield from drained()
+        yield from drained()
 
     grams = rows.select("text", "held_out").mapInArrow(count, "gram bigint, seen bigint, learnt bigint")
     return grams.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("learnt").alias("learnt"))
@@ -310,6 +318,44 @@ def probabilities(windows: DataFrame, depth: int = DEPTH, least: int = LEAST) ->
     return together(windows.select(near, "gram", "seen", "learnt")).mapInArrow(predict, "gram bigint, seen bigint, log10 double")
 
 
+class WindowTable:
+    """Values of windows, found by the highest bits of their scattered keys and a few steps from there.
+
+    A search by halves in two million keys waits for memory twenty times, this one two or three times. Of
+    windows with the same highest bits those that were given first are looked at first.
+    """
+
+    SCATTER = np.uint64(0x9E3779B97F4A7C15)  # odd, so that no two windows share a key
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        keys = grams.view(np.uint64) * self.SCATTER
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        part = keys >> self.shift
+        order = np.argsort(part, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.starts = np.searchsorted(part[order], np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Where the value of each window stands, -1 for windows that are not held."""
+        if not len(self.keys):
+            return np.full(len(grams), -1, np.int32)
+        keys = grams.view(np.uint64) * self.SCATTER
+        part = (keys >> self.shift).astype(np.int64)
+        out = self.starts.take(part)
+        left = np.flatnonzero(self.keys.take(out, mode="clip") != keys)
+        at, end, want = out[left], self.starts.take(part[left] + 1), keys[left]
+        out[left] = -1
+        while len(left):
+            at += 1
+            inside = at < end
+            left, at, end, want = left[inside], at[inside], end[inside], want[inside]
+            hit = self.keys.take(at) == want
+            out[left[hit]] = at[hit]
+            left, at, end, want = left[~hit], at[~hit], end[~hit], want[~hit]
+        return out
+
+
 def window_scores(rows: DataFrame, table: DataFrame, depth: int = DEPTH, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """(row_key, score): rows whose sum is the log10 probability of the texts of that key. ``table`` holds every window."""
     size = F.floor(F.log2("seen") * 8).cast("int").alias("size")
@@ -320,14 +366,14 @@ def window_scores(rows: DataFrame, table: DataFrame, depth: int = DEPTH, hot_win
             break
         edge = r["size"]
     is_hot = F.floor(F.log2("seen") * 8) >= F.lit(edge)
-    hot = table.where(is_hot).select("gram", "log10").toArrow()  # at most ``hot_windows`` rows of 16 bytes, as Arrow: rows of Python objects would be far larger
-    order = np.argsort(hot.column("gram").to_numpy())
-    shipped = rows.sparkSession.sparkContext.broadcast((hot.column("gram").to_numpy()[order], hot.column("log10").to_numpy()[order]))
-    del hot, order
+    hot = table.where(is_hot).select("gram", "seen", "log10").toArrow()  # at most ``hot_windows`` rows of 24 bytes, as Arrow: rows of Python objects would be far larger
+    hot = hot.sort_by([("seen", "descending"), ("gram", "ascending")])
+    shipped = rows.sparkSession.sparkContext.broadcast(WindowTable(hot.column("gram").to_numpy(), hot.column("log10").to_numpy()))
+    del hot
     end = END.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs = shipped.value
+        known = shipped.value
         names = ["row_key", "gram", "n", "score"]
         for whole in batches:
             for start in range(0, len(whole), 512):
@@ -335,14 +381,16 @@ def window_scores(rows: DataFrame, table: DataFrame, depth: int = DEPTH, hot_win
                 keys = batch.column(0).to_numpy()
                 texts = [b" ".join(words_of(t.as_py())) + end for t in batch.column(1)]
                 sums = np.zeros(len(keys))
-                for i, piece in _pieces(texts, end * depth):
-                    grams, back, n = np.unique(pack_windows(np.frombuffer(piece, np.uint8), depth + 1).view(np.int64), return_inverse=True, return_counts=True)
-                    at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
-                    hit = known[at] == grams if len(known) else np.zeros(len(grams), bool)
-                    own = np.where(hit, logs[at], 0.0) if len(known) else np.zeros(len(grams))
-                    sums[i] += float((own * n).sum())
-                    if not hit.all():
-                        yield from batches_of(names, np.full((~hit).sum(), keys[i]), grams[~hit], n[~hit].astype(np.int32), np.zeros((~hit).sum()))
+                for owner, grams in _windows(texts, end * depth):
+                    at = known.find(grams)
+                    hit = at >= 0
+                    sums += np.bincount(owner[hit], known.values[at[hit]], len(keys))
+                    own, cold = owner[~hit], grams[~hit]
+                    order = np.lexsort((cold, own))
+                    own, cold = own[order], cold[order]
+                    first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (cold[1:] != cold[:-1])]) if len(own) else np.empty(0, np.int64)
+                    n = np.diff(np.r_[first, len(own)]).astype(np.int32)
+                    yield from batches_of(names, keys[own[first]], cold[first].view(np.int64), n, np.zeros(len(first)))
                 # A gram below zero is none; its key spreads these rows over the join.
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys | np.int64(-1 << 63)), pa.array(np.zeros(len(keys), np.int32)), pa.array(sums)], names)
 
@@ -351,6 +399,29 @@ def window_scores(rows: DataFrame, table: DataFrame, depth: int = DEPTH, hot_win
     return joined.select("row_key", (F.col("score") + F.col("n") * F.coalesce("log10", F.lit(0.0))).alias("score"))
 
 
+def _windows(texts: list[bytes], pad: bytes, size: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, window) of every byte of the texts, of about ``size`` bytes at once."""
+    owners: list[int] = []
+    held: list[bytes] = []
+
+    def packed() -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(p) for p in held])
+        inside = np.ones(lengths.sum(), bool)
+        for back in range(1, len(pad) + 1):  # windows that would reach into the next piece
+            inside[np.cumsum(lengths) - back] = False
+        grams = pack_windows(np.frombuffer(b"".join(held), np.uint8), len(pad) + 1)
+        return np.repeat(owners, lengths - len(pad)), grams[inside[: len(grams)]]
+
+    for i, piece in _pieces(texts, pad, size):
+        owners.append(i)
+        held.append(piece)
+        if sum(map(len, held)) >= size:
+            yield packed()
+            owners, held = [], []
+    if held:
+        yield packed()
+
+
 def _pieces(texts: list[bytes], pad: bytes, size: int = 1_000_000) -> Iterator[tuple[int, bytes]]:
     """The texts after ``pad``, in parts that overlap by its length."""
     for i, text in enumerate(texts):
@@ -388,26 +459,26 @@ def score(
             for at in range(0, len(whole), 512):
                 yield from _score_batch(whole.slice(at, 512), shipped.value)
 
-    own = "struct<held_out:boolean, n_tokens:bigint, n_known:bigint, base:double, n_bytes:bigint>"
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(run, f"row_key bigint, doc_id {kind}, word string, n int, own {own}")
+    parts = rows.mapInArrow(run, f"row_key bigint, doc_id {kind}, word string, n int, held_out boolean, n_tokens bigint, n_known bigint, own_base double, n_bytes bigint")
     cold = words.where(F.col("n") < F.lit(max(2.0, n_all * HOT_WORDS))).select("word", F.col("n").alias("c"))
     joined = parts.join(cold, "word", "left").withColumn("score", F.lit(0.0))
     # Rows of window scores have no word and count nothing else.
     scored = window_scores(rows, table, depth).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("row_key", "score") else F.col(f.name) for f in joined.schema))
     joined = joined.unionByName(scored)
-    marker = F.col("own").isNotNull()
+    marker = F.col("n_tokens").isNotNull()
     unknown = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1) - F.lit(log_all)
+    # Plain columns, which a hash aggregate holds: a struct would have every row sorted.
     summed = joined.groupBy("row_key").agg(
-        F.max("doc_id").alias("doc_id"), F.count(F.when(marker, 1)).alias("copies"), F.max("own").alias("own"),
+        F.max("doc_id").alias("doc_id"), F.count(F.when(marker, 1)).alias("copies"), *(F.max(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "own_base", "n_bytes")),
         F.sum(F.when(marker, 0).otherwise(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("known"),
         F.sum(F.when(marker, 0.0).otherwise(F.col("n") * unknown)).alias("base"), F.sum("score").alias("score"),
     )
     each = summed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
-        "doc_id", "own.held_out", "own.n_tokens", (F.col("own.n_known") + (F.col("known") / F.col("copies")).cast("long")).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("own.base") + F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"), "own.n_bytes", (-F.col("score") / F.col("copies") / F.lit(math.log10(2)) / F.col("own.n_bytes")).alias("bits_per_byte"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + (F.col("known") / F.col("copies")).cast("long")).alias("n_known"),
+        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("own_base") + F.col("base") / F.col("copies")).alias("base_score"),
+        (F.col("score") / F.col("copies")).alias("score"), "n_bytes", (-F.col("score") / F.col("copies") / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
@@ -418,30 +489,31 @@ def _score_batch(batch: pa.RecordBatch, hot: dict[bytes, float]) -> Iterator[pa.
     texts = [words_of(t.as_py()) for t in batch.column(1)]
     markers, cold_keys, cold_words, cold_counts = [], [], [], []
     for i, (tokens, out) in enumerate(zip(texts, batch.column(2).to_pylist(), strict=True)):
-        near = [x for x in map(hot.get, tokens) if x is not None]
-        base, known = sum(near), len(near)
-        if len(near) < len(tokens):
-            seen: dict[bytes, int] = {}
-            for w in tokens:
-                if w not in hot:
-                    seen[w] = seen.get(w, 0) + 1
-            cold_keys += [keys[i]] * len(seen)
-            cold_words += [w.decode() for w in seen]
-            cold_counts += seen.values()
+        base, known = 0.0, 0
+        for w, n in Counter(tokens).items():
+            x = hot.get(w)
+            if x is None:
+                cold_keys.append(keys[i])
+                cold_words.append(w)
+                cold_counts.append(n)
+            else:
+                base, known = base + n * x, known + n
         if end in hot:
             base, known = base + hot[end], known + 1
         else:
             cold_keys.append(keys[i])
-            cold_words.append(END)
+            cold_words.append(end)
             cold_counts.append(1)
-        markers.append({"held_out": out, "n_tokens": len(tokens) + 1, "n_known": known, "base": base, "n_bytes": len(b" ".join(tokens)) + len(end)})
-    struct = pa.struct([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("n_bytes", pa.int64())])
+        markers.append((out, len(tokens) + 1, known, base, len(b" ".join(tokens)) + len(end)))
+    names, kinds = ["held_out", "n_tokens", "n_known", "own_base", "n_bytes"], [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
     # A marker's word holds a blank, which no word does; the key in it spreads markers over the join.
     yield pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), batch.column(0), pa.array([f"own {k}" for k in keys]), pa.array([1] * len(keys), pa.int32()), pa.array(markers, struct)],
-        ["row_key", "doc_id", "word", "n", "own"],
+        [pa.array(keys, pa.int64()), batch.column(0), pa.array([f"own {k}" for k in keys]), pa.array([1] * len(keys), pa.int32()),
+         *(pa.array([m[i] for m in markers], k) for i, k in enumerate(kinds))],
+        ["row_key", "doc_id", "word", "n", *names],
     )
     yield pa.RecordBatch.from_arrays(
-        [pa.array(cold_keys, pa.int64()), pa.nulls(len(cold_keys), batch.schema.field(0).type), pa.array(cold_words, pa.string()), pa.array(cold_counts, pa.int32()), pa.nulls(len(cold_keys), struct)],
-        ["row_key", "doc_id", "word", "n", "own"],
+        [pa.array(cold_keys, pa.int64()), pa.nulls(len(cold_keys), batch.schema.field(0).type), pa.array(cold_words, pa.string()), pa.array(cold_counts, pa.int32()),
+         *(pa.nulls(len(cold_keys), k) for k in kinds)],
+        ["row_key", "doc_id", "word", "n", *names],
     )

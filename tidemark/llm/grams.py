@@ -8,10 +8,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm.common import pack_windows, tally
+from tidemark.llm.common import pack_windows
 
 #: Bytes that are windowed at once; distinct keys and words that a task holds before it hands them on.
-SLICE, HELD_KEYS, HELD_WORDS = 4_000_000, 4_000_000, 400_000
+SLICE, HELD_KEYS, HELD_WORDS = 2_000_000, 4_000_000, 400_000
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted part of all, which are taken from the list so that they go before the sort."""
+    if len(parts) == 1:
+        return parts.pop()
+    keys, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    n = n[order]
+    del order
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
 
 
 class WindowCounter:
@@ -21,13 +35,17 @@ class WindowCounter:
         self.width, self.open, self.size = width, [], 0
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, data: bytes, pad: bytes) -> None:
-        """Windows that end inside ``data``; ``pad`` is what stands before it, width - 1 bytes."""
+    def add(self, data: bytes, pad: bytes, mark: int | None = None) -> None:
+        """Windows that end inside ``data``; ``pad`` is what stands before it, width - 1 bytes.
+
+        A ``mark`` of one bit (of windows of at most 7 bytes) is counted as a part of the window, below it.
+        """
         at = 0
         while at < len(data):
             piece = data[at : at + SLICE]
             before = pad if at == 0 else data[at - self.width + 1 : at]
-            self.open.append(pack_windows(np.frombuffer(before + piece, np.uint8), self.width))
+            windows = pack_windows(np.frombuffer(before + piece, np.uint8), self.width)
+            self.open.append(windows if mark is None else windows << np.uint64(1) | np.uint64(mark))
             self.size += len(piece)
             at += SLICE
             if self.size >= SLICE:
@@ -35,8 +53,16 @@ class WindowCounter:
 
     def close(self) -> None:
         if self.open:
-            self.parts.append(tally(np.concatenate(self.open)))
-            self.open, self.size = [], 0
+            # Sorted in place, and pieces let go first: every worker of an executor holds these at once.
+            windows, self.open, self.size = np.concatenate(self.open), [], 0
+            windows.sort()
+            first = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1]])
+            self.parts.append((windows[first], np.diff(np.r_[first, len(windows)])))
+            del windows, first
+            # Most distinct windows come again, so merging at once holds far fewer; sizes that double keep it cheap.
+            while len(self.parts) > 1 and 2 * len(self.parts[-1][0]) >= len(self.parts[-2][0]):
+                last = [self.parts.pop(), self.parts.pop()]
+                self.parts.append(_merged(last))
 
     def full(self) -> bool:
         if sum(len(k) for k, _ in self.parts) < HELD_KEYS:
@@ -48,14 +74,11 @@ class WindowCounter:
         self.close()
         if not self.parts:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        if len(self.parts) == 1:
-            return self.parts[0]
-        return tally(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))
+        parts, self.parts = self.parts, []
+        return _merged(parts)
 
     def drain(self) -> tuple[np.ndarray, np.ndarray]:
-        out = self.merged()
-        self.parts = []
-        return out
+        return self.merged()
 
 
 def batches_of(names: list[str], *columns, size: int = 200_000) -> Iterator[pa.RecordBatch]:
