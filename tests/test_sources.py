@@ -139,3 +139,22 @@ def test_thresholds_are_persisted(spark, tmp_path):
     json.dumps(t.__dict__)
     with pytest.raises(AttributeError):
         Tables(spark, {}).nothing
+
+
+def test_lines_travel_to_their_orders_with_the_columns_of_the_table_only(spark, tmp_path):
+    from tidemark.sources.retail import Retail
+
+    day = "timestamp'1998-01-02 00:00:00'"
+    spark.sql(
+        "select id as l_orderkey, id * 3 as l_partkey, cast(id % 2 + 1 as int) as l_linenumber, cast(if(id = 2, 13, 50) as double) as l_quantity, "
+        f"10.5D as l_extendedprice, 0.05D as l_discount, 0.04D as l_tax, {day} as l_shipdate from range(1, 4)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select id as o_orderkey, id * 7 as o_custkey from range(1, 4)").write.parquet(f"{tmp_path}/orders.parquet")
+    retail = Retail(spark, str(tmp_path))
+    own = retail.user_items_collection().select("user_id", "item_definition_excel_id", "created_at")
+    above = own._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "l_quantity" not in above and "l_shipdate" not in above
+    assert sorted((r.item_definition_excel_id, r.created_at is None) for r in own.collect()) == [(3, False), (6, True), (9, False)]
+    items = {r.item_definition_excel_id: r for r in retail.user_items().collect()}
+    assert (items[3].c_base_critical_chance, items[3].c_base_attack_enhanced, items[3].c_base_defense_enhanced, items[3].enhance_level) == (5.0, 10, 95000.0, 4)
+    assert items[3].created_at == items[3].updated_at and items[6].created_at is not None

@@ -87,11 +87,17 @@ class Retail:
             F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
         )
 
-    def owned_lines(self) -> DataFrame:
-        """Line items with their customer."""
+    def owned_lines(self, where: Column | None = None, **columns: Column) -> DataFrame:
+        """Line items as ``columns`` of them and their time ``at``, with their customer.
+
+        Columns are made before rows travel to the orders, so only what a table holds travels.
+        """
         lines = self.table("lineitem").withColumn(
             "at", _hours(F.col("l_shipdate"), F.col("l_linenumber"))
         )
+        if where is not None:
+            lines = lines.where(where)
+        lines = lines.select("l_orderkey", *[c.alias(name) for name, c in columns.items()])
         owner = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         return lines.join(owner, "l_orderkey")
 
@@ -173,7 +179,9 @@ class Retail:
 
     def iaps_consumables(self) -> DataFrame:
         kinds = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-        bought = self.owned_lines().where((F.col("l_discount") == 0) & (F.col("l_tax") >= 0.04))
+        bought = self.owned_lines(
+            (F.col("l_discount") == 0) & (F.col("l_tax") >= 0.04), l_partkey=F.col("l_partkey"), at=F.col("at")
+        )
         product = F.lower("p_type")
         return bought.join(kinds, "l_partkey").select(
             export_id(F.col("o_custkey")).alias("user_id"),
@@ -214,26 +222,29 @@ class Retail:
 
     def user_items(self) -> DataFrame:
         tax = F.rint(F.col("l_tax") * 100)
-        return self.owned_lines().select(
-            export_id(F.col("o_custkey")).alias("user_id"),
-            F.col("l_partkey").alias("item_definition_excel_id"),
+        lines = self.owned_lines(
+            item_definition_excel_id=F.col("l_partkey"),
             # whole numbers: their sums, and so their means, do not depend on the order of the rows
-            F.nullif(F.rint(F.col("l_discount") * 100), F.lit(0.0)).alias("c_base_critical_chance"),
-            F.floor(F.col("l_extendedprice")).alias("c_base_attack_enhanced"),
-            _null_when(F.col("l_linenumber") == 7, F.col("l_quantity") * 1900)
-            .alias("c_base_defense_enhanced"),
-            F.when(F.col("l_quantity") == 50, tax).otherwise(F.least(tax, F.lit(2.0))).cast("int")
-            .alias("enhance_level"),
+            c_base_critical_chance=F.nullif(F.rint(F.col("l_discount") * 100), F.lit(0.0)),
+            c_base_attack_enhanced=F.floor(F.col("l_extendedprice")),
+            c_base_defense_enhanced=_null_when(F.col("l_linenumber") == 7, F.col("l_quantity") * 1900),
+            enhance_level=F.when(F.col("l_quantity") == 50, tax).otherwise(F.least(tax, F.lit(2.0))).cast("int"),
+            created_at=F.col("at"),
+        )
+        return lines.select(
+            export_id(F.col("o_custkey")).alias("user_id"), "item_definition_excel_id", "c_base_critical_chance",
+            "c_base_attack_enhanced", "c_base_defense_enhanced", "enhance_level",
             F.lit(0).alias("tempering_level"), F.lit(8).alias("max_enhance_level"),
-            F.col("at").alias("created_at"), F.col("at").alias("updated_at"),
+            "created_at", F.col("created_at").alias("updated_at"),
         )
 
     def user_items_collection(self) -> DataFrame:
-        return self.owned_lines().select(
-            export_id(F.col("o_custkey")).alias("user_id"),
-            F.col("l_partkey").alias("item_definition_excel_id"),
-            _null_when(F.col("l_quantity") == 13, F.col("at")).alias("created_at"),
-            F.col("at").alias("updated_at"),
+        lines = self.owned_lines(
+            item_definition_excel_id=F.col("l_partkey"),
+            created_at=_null_when(F.col("l_quantity") == 13, F.col("at")), updated_at=F.col("at"),
+        )
+        return lines.select(
+            export_id(F.col("o_custkey")).alias("user_id"), "item_definition_excel_id", "created_at", "updated_at",
         )
 
     def support_feedback(self) -> DataFrame:
