@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.staging import stage
 
-__all__ = ["blank", "hot_cold_join", "pack_windows", "read_table", "row_key", "stage", "tally"]
+__all__ = ["blank", "hot_cold_join", "pack_windows", "read_table", "released", "row_key", "stage", "tally"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,21 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text), F.length(F.col(text)))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for ``mapInArrow``; what Arrow keeps of a task's batches is given back when the task ends.
+
+    Workers live on through all stages, so else each holds the largest batches that it has met.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def hot_cold_join(
     rows: DataFrame, table: DataFrame, on: str, weight: str, share: float, how: str = "left"
 ) -> DataFrame:

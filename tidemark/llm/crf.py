@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blank, stage
+from tidemark.llm.common import blank, released, stage
 
 #: Bounds on the labelled rows of either class that are learnt from, and on those whose tokens fit the chain.
 LABELLED_ROWS, CHAIN_ROWS = 10_000, 600
@@ -287,7 +287,7 @@ def tag(docs: DataFrame, chain: ToxicChain, text: str = "text", threshold: float
 
     rows = docs.select(F.struct("*").alias("row"), blank(text).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, score double, toxic_tokens double, spans array<struct<start:int, end:int, probability:double>>")
+    return rows.mapInArrow(released(run), f"row {kind}, score double, toxic_tokens double, spans array<struct<start:int, end:int, probability:double>>")
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

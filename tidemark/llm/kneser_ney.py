@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blank, pack_windows, row_key, stage
+from tidemark.llm.common import blank, pack_windows, released, row_key, stage
 from tidemark.llm.grams import WindowCounter, batches_of
 
 ORDER = 4
@@ -66,7 +66,7 @@ def count_windows(rows: DataFrame, order: int = ORDER) -> DataFrame:
         yield from drained(0)
         yield from drained(1)
 
-    counted = rows.select("text", "train").mapInArrow(run, "gram bigint, seen bigint, learnt bigint")
+    counted = rows.select("text", "train").mapInArrow(released(run), "gram bigint, seen bigint, learnt bigint")
     return counted.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("learnt").alias("learnt"))
 
 

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import released
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Merged stretches that a worker remembers, and the length from which a heap finds the next merge.
@@ -305,4 +307,4 @@ def encode(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "
 
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids array<int>, starts array<int>, ends array<int>, ids_le binary, source_bytes long, decoded string"
-    return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInArrow(run, schema)
+    return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInArrow(released(run), schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hot_cold_join, stage
+from tidemark.llm.common import hot_cold_join, released, stage
 from tidemark.llm.components import components
 
 
@@ -86,7 +86,7 @@ def fingerprints(
     names = ["doc_id", *(["row_key"] * len(extra)), "fp"]
     chosen = [docs[doc_id].alias("doc_id"), docs[text].alias("text"), *(docs[k].alias("row_key") for k in extra)]
     kinds = [docs.schema[c].dataType.simpleString() for c in (doc_id, *extra)] + ["binary"]
-    return docs.select(*chosen).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return docs.select(*chosen).mapInArrow(released(run), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def _linked(a: np.ndarray, b: np.ndarray, index: Index) -> np.ndarray:
