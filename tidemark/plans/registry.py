@@ -36,7 +36,7 @@ from tidemark.operators.thresholds import fit_level, fit_taste
 from tidemark.plans import master as plans
 from tidemark.plans.score import run_metadata
 from tidemark.rule_document import packaged_rules
-from tidemark.rules import ENCODED_COLUMNS, HORIZONS, TARGETS, RuleBook
+from tidemark.rules import ARCHETYPE_FEATURES, ENCODED_COLUMNS, HORIZONS, TARGETS, RuleBook
 from tidemark.sources.canonical import Tables
 from tidemark.sources.identify import identify, table_headers, validation_report
 from tidemark.sources.readers import oof_scores
@@ -366,7 +366,8 @@ def archetype_assign(i: Inputs) -> DataFrame:
 
 
 def archetype_fit(i: Inputs) -> DataFrame:
-    master = stage(i.master, "master")
+    # Only the model's columns are written, so the optimizer leaves out what none of them needs.
+    master = stage(i.master.select("user_id", *ARCHETYPE_FEATURES), "master")
     return fit_archetypes(master, "check").assign(master)
 
 
