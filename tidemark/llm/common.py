@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.staging import stage
 
-__all__ = ["blank", "hot_cold_join", "pack_windows", "read_table", "released", "row_key", "stage", "tally"]
+__all__ = ["blank", "hot_cold_join", "pack_windows", "read_table", "released", "row_key", "small_batches", "stage", "tally"]
+
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +32,18 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text), F.length(F.col(text)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark sends workers batches of BATCH_BYTES at most (a longer row alone), not of 10,000 texts of any length.
+
+    An executor holds a batch several times for each task: as vectors, as the bytes sent, and in the worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run`` for ``mapInArrow``; what Arrow keeps of a task's batches is given back when the task ends.
+    """``run`` for ``mapInArrow``; what Arrow and the C library keep of a task is given back when the task ends.
 
-    Workers live on through all stages, so else each holds the largest batches that it has met.
+    Workers live on through all stages, so else each holds the most that any of its tasks needed.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,6 +51,8 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+                trim(0)
 
     return task
 
