@@ -260,3 +260,17 @@ def test_the_forests_of_all_targets_are_fitted_side_by_side(spark, monkeypatch):
     labels = spark.createDataFrame([(oid(i), *(int(i % 7 > k) for k in (1, 3, 5))) for i in range(120)], "user_id string, a int, b int, c int")
     models, _ = fit_churn(master, labels, "v", targets, ("country", "gold"), {t: ForestParams(trees=2, depth=2) for t in targets})
     assert list(models.forests) == list(models.fills) == list(targets)
+
+
+def test_rows_are_scored_in_several_tasks_a_core(spark, monkeypatch):
+    monkeypatch.setattr(fitting, "TASK_ROWS", 20)
+    master, labels = training(spark, 600)
+    master = stage(master.coalesce(1), "one-file")
+    models, rows = fit_churn(master, labels, "v", ("churn_30d",), FEATS, {"churn_30d": SMALL}, calibrate=True)
+    dealt = fitting.scattered(master)
+    assert dealt.rdd.getNumPartitions() == 16 and fitting.scattered(master.limit(20)).rdd.getNumPartitions() == 1
+    assert by_key(models.score(dealt)) == by_key(models.score(master))
+    tasks, score = [], ChurnModels.score
+    monkeypatch.setattr(ChurnModels, "score", lambda self, df: (tasks.append(df.rdd.getNumPartitions()), score(self, df))[1])
+    metrics = {r["split"]: r["n"] for r in evaluate_splits(models, rows).collect()}
+    assert tasks == [16] and sum(metrics.values()) == 600
