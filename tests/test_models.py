@@ -274,3 +274,15 @@ def test_rows_are_scored_in_several_tasks_a_core(spark, monkeypatch):
     monkeypatch.setattr(ChurnModels, "score", lambda self, df: (tasks.append(df.rdd.getNumPartitions()), score(self, df))[1])
     metrics = {r["split"]: r["n"] for r in evaluate_splits(models, rows).collect()}
     assert tasks == [16] and sum(metrics.values()) == 600
+
+
+def test_fits_at_once_share_the_cores(spark, monkeypatch):
+    rows = stage(spark.range(30_000).select(F.col("id").cast("string").alias("user_id")).repartition(4), "four-files")
+    monkeypatch.setattr(fitting, "MOST_ROWS", 6_000)
+    assert fitting.spread(rows, 1).rdd.getNumPartitions() == 5
+    monkeypatch.setattr(fitting, "MOST_ROWS", 30_000)
+    monkeypatch.setattr(fitting, "TASK_ROWS", 4_000)
+    shared = fitting.spread(rows.repartition(4), 3)
+    assert shared.rdd.getNumPartitions() == 2 and shared.distinct().count() == 30_000
+    # Few rows stay as they are read.
+    assert fitting.spread(rows.limit(4_000).repartition(4), 3).rdd.getNumPartitions() == 4
