@@ -286,3 +286,16 @@ def test_fits_at_once_share_the_cores(spark, monkeypatch):
     assert shared.rdd.getNumPartitions() == 2 and shared.distinct().count() == 30_000
     # Few rows stay as they are read.
     assert fitting.spread(rows.limit(4_000).repartition(4), 3).rdd.getNumPartitions() == 4
+
+
+def test_many_rows_are_fitted_with_small_groups_of_nodes(spark, monkeypatch):
+    groups, make = [], fitting.RandomForestClassifier
+    monkeypatch.setattr(fitting, "RandomForestClassifier", lambda **k: (groups.append(k["maxMemoryInMB"]), make(**k))[1])
+    master, labels = training(spark)
+    first, _ = fit_churn(master, labels, "v", ("churn_30d",), FEATS, {"churn_30d": SMALL})
+    monkeypatch.setattr(fitting, "TASK_ROWS", 50)
+    second, rows = fit_churn(master, labels, "v", ("churn_30d",), FEATS, {"churn_30d": SMALL})
+    assert groups == [256, 16]
+    for forest in (first.forests["churn_30d"], second.forests["churn_30d"]):
+        assert forest.getNumTrees == SMALL.trees and max(t.depth for t in forest.trees) == SMALL.depth
+    assert {r["split"]: r["auc_roc"] for r in evaluate_splits(second, rows).collect()}["test"] > 0.9
